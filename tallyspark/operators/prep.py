@@ -22,19 +22,17 @@ class Prep:
 
 
 def feature_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row per column: count, mean, population variance. One pass, one small shuffle."""
-    wide = df.agg(
-        *[
-            F.struct(
-                F.lit(c).alias("feature"),
-                F.count(F.col(f"`{c}`")).alias("n"),
-                F.avg(F.col(f"`{c}`")).alias("mean"),
-                F.var_pop(F.col(f"`{c}`")).alias("variance"),
-            ).alias(f"_{i}")
-            for i, c in enumerate(columns)
-        ]
+    """One row per column: count, mean, population variance.
+
+    Columns turn into rows before a grouped aggregate: its code stays small however wide
+    the model is, and the shuffle carries one row per column and task.
+    """
+    long = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns]).unpivot(
+        [], [F.col(f"`{c}`") for c in columns], "feature", "value"
+    )
+    return long.groupBy("feature").agg(
+        F.count("value").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("variance")
     )
-    return wide.select(F.inline(F.array(*[F.col(f"_{i}") for i in range(len(columns))])))
 
 
 def _scale(n: int, mean: float, variance: float) -> float:

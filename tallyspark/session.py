@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,10 +41,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and continue from the written rows.
+    """Write ``df`` to the shared folder and continue from the written table.
 
-    Used before iterative fits, so a lost executor re-reads feature rows instead of
-    re-running the pass over the ledger.
+    Used before iterative fits: every later pass reads pruned columns from files that
+    survive executors, and no pass goes back to the ledger.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(df.sparkSession)}/frames/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
