@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions.text import DEFAULT_DATE_FORMATS, norm_text, null_tokens, parse_amount, parse_date
+from tallyspark.functions.text import (
+    DEFAULT_DATE_FORMATS, norm_text, not_nan, null_tokens, parse_amount, parse_date, strip_space,
+)
 
 LEDGER_COLUMNS = ("Date", "Description", "Amount", "Transaction Type", "Category", "Account Name")
 TYPES = ("debit", "credit")
@@ -62,28 +64,38 @@ def normalise_ledger(
 ) -> DataFrame:
     """Typed, lower-cased, valid rows; duplicates still in. No shuffle."""
     df = require_columns(trim_headers(df), [*entity_cols, *LEDGER_COLUMNS])
-    types = {f.name: f.dataType for f in df.schema.fields}
-
-    def raw(name: str) -> Column:
-        c = F.col(f"`{name}`")
-        return null_tokens(c) if read_nulls and types[name].simpleString() == "string" else c
-
-    def words(name: str) -> Column:
-        return F.lower(norm_text(raw(name))).alias(name)
-
-    kind = F.col("Transaction Type")
-    return (
-        df.select(
-            *entity_cols,
-            parse_date(raw("Date"), date_formats, types["Date"]).alias("Date"),
-            words("Description"),
-            F.abs(parse_amount(raw("Amount"), types["Amount"])).alias("Amount"),
-            words("Transaction Type"),
-            words("Category"),
-            words("Account Name"),
-        )
-        .filter(F.col("Date").isNotNull() & F.col("Category").isNotNull())
-        .filter(kind.isin(*TYPES) & (F.col("Amount") > 0))
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    text = [c for c in LEDGER_COLUMNS if types[c] == "string" or c not in ("Date", "Amount")]
+
+    def each(fn: Callable[[Column], Column], names: Sequence[str]) -> DataFrame:
+        cols = [
+            (fn(F.col(f"`{c}`").cast("string")).alias(c) if c in names else F.col(f"`{c}`"))
+            for c in LEDGER_COLUMNS
+        ]
+        return df.select(*entity_cols, *cols)
+
+    # a missing raw value stays missing, so the scan can drop it
+    df = df.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in ("Date", "Amount", "Transaction Type", "Category")))
+    # One projection per step: each step uses its input more than once, and Spark keeps
+    # such projections apart instead of copying one expression into the next.
+    df = each(null_tokens, text) if read_nulls else df
+    df = each(strip_space, text)
+    date, amount = F.col("Date"), F.col("Amount")
+    row = F.struct(
+        (parse_date(date, date_formats) if "Date" in text else date.cast("timestamp_ntz")).alias("Date"),
+        norm_text(F.col("Description")).alias("Description"),
+        F.abs(parse_amount(amount) if "Amount" in text else not_nan(amount.cast("double"))).alias("Amount"),
+        norm_text(F.col("Transaction Type")).alias("Transaction Type"),
+        norm_text(F.col("Category")).alias("Category"),
+        norm_text(F.col("Account Name")).alias("Account Name"),
+    )
+    # A filter moves below projections and would repeat every parse inside itself, in code
+    # too long for the JIT compiler. It does not move below a generator of one row.
+    return df.select(*entity_cols, F.inline(F.array(row))).filter(
+        F.col("Date").isNotNull()
+        & F.col("Category").isNotNull()
+        & F.col("Transaction Type").isin(*TYPES)
+        & (F.col("Amount") > 0)
     )
 
 

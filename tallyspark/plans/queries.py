@@ -85,7 +85,7 @@ def orders(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dirty(spark: SparkSession, d: str) -> DataFrame:
-    return clean_ledger(dirty_ledger(spark, d), E, date_formats=("yyyy-M-d",), read_nulls=True)
+    return clean_ledger(dirty_ledger(spark, d), E, read_nulls=True)
 
 
 def weeks(spark: SparkSession, d: str, variant: str = "profile") -> DataFrame:
