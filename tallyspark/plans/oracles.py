@@ -474,7 +474,7 @@ u AS (SELECT *, CASE WHEN budget >= 1 THEN p / budget ELSE 0 END AS used FROM b)
 s AS (SELECT *, 1 / (1 + exp(-(used - 1) * 6)) AS chance FROM u)
 SELECT entity, "YearMonth", round(budget, 2) AS budget, {rnd("used", 4)} AS budget_usage_ratio,
  round(CASE WHEN budget >= 1 THEN budget - spent ELSE 0 END, 2) AS budget_remaining,
- round(CASE WHEN budget >= 1 THEN greatest(0, p - budget) ELSE 0 END, 2) AS expected_overrun_amount,
+ {rnd("CASE WHEN budget >= 1 THEN greatest(0, p - budget) ELSE 0 END", 4)} AS expected_overrun_amount,
  {rnd("CASE WHEN budget >= 1 THEN chance ELSE 0 END")} AS budget_overrun_probability,
  {rnd("CASE WHEN budget >= 1 THEN chance WHEN pace > 0 THEN least(1, greatest(0, p / pace)) ELSE 0.5 END")} AS forecast_risk
 FROM s"""

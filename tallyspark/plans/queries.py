@@ -391,7 +391,7 @@ def q_budget_risk(spark: SparkSession, d: str) -> DataFrame:
         "budget_overrun_probability", "forecast_risk",
     ]
     rows = _money(spark, d).filter("has_snapshot").select("entity", "YearMonth", *cols)
-    return rounded(rows, {"budget": 2, "budget_remaining": 2, "budget_usage_ratio": 4})
+    return rounded(rows, {"budget": 2, "budget_remaining": 2, "budget_usage_ratio": 4, "expected_overrun_amount": 4})
 
 
 def q_latest_week(spark: SparkSession, d: str) -> DataFrame:
