@@ -31,8 +31,9 @@ def strip_space(c: Column) -> Column:
     Trimming by a character set is slow, so only texts that start or end with one of the
     characters take it.
     """
-    edge = F.substring(c, 1, 1).isin(*SPACE_CHARS) | F.substring(c, -1, 1).isin(*SPACE_CHARS)
-    return F.when(edge, F.trim(c, F.lit(SPACE_CHARS))).otherwise(c)
+    space = F.lit(SPACE_CHARS)
+    edge = F.contains(space, F.substring(c, 1, 1)) | F.contains(space, F.substring(c, -1, 1))
+    return F.when(edge, F.trim(c, space)).otherwise(c)
 
 
 def null_tokens(c: Column) -> Column:

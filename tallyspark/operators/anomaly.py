@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyspark.config import AnomalyConfig
 from tallyspark.functions.numeric import numeric_columns
 from tallyspark.functions.quantiles import exact_quantiles
-from tallyspark.operators.clustering import LABEL, Centroids, assign, cluster_sizes, fit_kmeans
+from tallyspark.operators.clustering import LABEL, Centroids, assign, center, cluster_sizes, fit_kmeans
 from tallyspark.operators.prep import Prep, apply_prep, fit_prep
 from tallyspark.session import durable
 
@@ -64,7 +64,7 @@ def top_contributions(
 ) -> DataFrame:
     """Add the ``n`` features farthest from the row's centre; equal distances by name."""
     names = F.array(*[F.lit(c) for c in centroids.columns])
-    centers = F.array(*[F.array(*[F.lit(v) for v in c]) for c in centroids.centers])
+    centers = F.array(*[center(c) for c in centroids.centers])
     triples = F.arrays_zip(
         names.alias("f"), F.col(features).alias("x"), F.element_at(centers, F.col(LABEL) + 1).alias("c")
     )

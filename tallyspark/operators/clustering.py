@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.config import ProfilerConfig
 from tallyspark.functions.quantiles import exact_medians
+from tallyspark.operators.prep import number
 
 LABEL = "cluster_label"
 
@@ -77,8 +78,8 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda acc, v: acc + v))
 
 
-def _center(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+def center(values: Sequence[float]) -> Column:
+    return F.expr(f"array({', '.join(number(v) for v in values)})")
 
 
 def assign(df: DataFrame, centroids: Centroids, features: str = "features") -> DataFrame:
@@ -86,7 +87,7 @@ def assign(df: DataFrame, centroids: Centroids, features: str = "features") -> D
 
     Centres are literals, k times d numbers fixed by the model, so nothing is joined.
     """
-    dists = F.array(*[distance(F.col(features), _center(c)) for c in centroids.centers])
+    dists = F.array(*[distance(F.col(features), center(c)) for c in centroids.centers])
     return (
         df.withColumn("_d", dists)
         .withColumns(
@@ -295,10 +296,10 @@ def evaluate_ks(
     ks = [k for k in config.candidate_ks if k < n]
     if not ks:
         raise ValueError(f"no candidate k below the number of rows ({n})")
-    fitted, table = {}, None
+    fitted, rows, schema = {}, [], None
     for k in ks:
         model = fit_kmeans(df, columns, k, config.n_init, config.max_iter, config.seed)
-        labelled = assign(df, model)
+        labelled = assign(df, model).select(*key_cols, LABEL, "features").persist()
         row = cluster_quality(
             labelled, key_cols, len(columns), config.min_cluster_ratio, config.silhouette_exact_rows
         ).withColumn("k", F.lit(k))
@@ -307,8 +308,9 @@ def evaluate_ks(
         )
         row = row.withColumn("cluster_counts", sizes.scalar())
         fitted[k] = model
-        table = row if table is None else table.unionByName(row)
-    spark = df.sparkSession
-    measured = spark.createDataFrame(table.collect(), table.schema)  # one row per candidate k
+        rows += row.collect()  # one row per candidate k
+        schema = row.schema
+        labelled.unpersist()
+    measured = df.sparkSession.createDataFrame(rows, schema)
     evaluation = measured.orderBy(F.desc("composite_score"), F.desc("balance_score"), F.desc("silhouette"))
     return evaluation, fitted[evaluation.first()["k"]]

@@ -110,5 +110,6 @@ def risk_level(
 
 
 def with_registry(df: DataFrame, registry: DataFrame, on: str = "name") -> DataFrame:
-    """Attach each row's model entry. The registry holds one row per model."""
-    return df.join(F.broadcast(registry), on, "left")
+    """Attach each row's model entry. No hint: Spark broadcasts the registry only while it is
+    below its size limit, so one model per entity works as well as one for all."""
+    return df.join(registry, on, "left")

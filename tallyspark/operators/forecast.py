@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyspark.config import ForecastConfig
-from tallyspark.functions.quantiles import exact_medians
+from tallyspark.functions.quantiles import SMALL_ROWS, exact_medians
 from tallyspark.operators.monthly import MONTH, TARGET
-from tallyspark.operators.prep import Prep, feature_stats, _scale
+from tallyspark.operators.prep import Prep, deviation, feature_stats, number, unpivoted
 from tallyspark.session import durable
 
 PREDICTION = "predicted_month_end_expense"
@@ -87,27 +87,42 @@ def _text_columns(df: DataFrame, features: Sequence[str]) -> list[str]:
     return [f for f in features if isinstance(df.schema[f].dataType, T.StringType)]
 
 
-def fit_preprocess(df: DataFrame, features: Sequence[str], rows: int | None = None) -> Preprocess:
-    """One row per feature reaches the driver, and one per category of a text feature."""
+def fit_preprocess(df: DataFrame, features: Sequence[str], rows: int) -> Preprocess:
+    """One row per feature reaches the driver, and one per category of a text feature.
+
+    Mean and deviation after imputation follow from the counts, so the rows are read once
+    (twice when the medians need the two-step quantiles of a large input).
+    """
     texts = _text_columns(df, features)
     numbers = [f for f in features if f not in texts]
-    medians = exact_medians(df, numbers, rows=rows).first()
-    filled = df.select(
-        *[F.coalesce(F.col(c).cast("double"), F.lit(medians[c])).alias(c) for c in numbers]
-    )
-    stats = {r["feature"]: r for r in feature_stats(filled, numbers).collect()}
-    prep = Prep(
-        tuple(numbers),
-        tuple(stats[c]["mean"] for c in numbers),
-        tuple(_scale(stats[c]["n"], stats[c]["mean"], stats[c]["variance"]) for c in numbers),
-    )
+    if rows <= SMALL_ROWS:
+        stats = unpivoted(df, numbers).groupBy("feature").agg(
+            F.count("value").alias("n"), F.avg("value").alias("mean"),
+            F.var_pop("value").alias("variance"), F.median("value").alias("median"),
+        )
+    else:
+        medians = exact_medians(unpivoted(df, numbers), ["value"], ["feature"], rows)
+        stats = feature_stats(df, numbers).join(medians.withColumnRenamed("value", "median"), "feature")
+    by_name = {r["feature"]: r for r in stats.collect()}
+    mids, means, scales = [], [], []
+    for c in numbers:
+        r = by_name[c]
+        if not r["n"]:
+            raise ValueError(f"feature {c!r} has no value to impute from")
+        gaps = rows - r["n"]
+        mean = (r["n"] * r["mean"] + gaps * r["median"]) / rows
+        spread = r["n"] * (r["variance"] + (r["mean"] - mean) ** 2) + gaps * (r["median"] - mean) ** 2
+        mids.append(r["median"])
+        means.append(mean)
+        scales.append(deviation(rows, mean, spread / rows))
     modes, categories = [], []
     for c in texts:
         counts = df.filter(F.col(c).isNotNull()).groupBy(c).count()
         top = counts.orderBy(F.desc("count"), c).first()
         modes.append((c, top[0] if top else None))
         categories.append(tuple(r[0] for r in counts.select(c).orderBy(c).collect()))
-    return Preprocess(prep, tuple(medians[c] for c in numbers), tuple(modes), tuple(categories))
+    prep = Prep(tuple(numbers), tuple(means), tuple(scales))
+    return Preprocess(prep, tuple(mids), tuple(modes), tuple(categories))
 
 
 def apply_preprocess(df: DataFrame, pre: Preprocess, output: str = "features") -> DataFrame:
@@ -118,8 +133,8 @@ def apply_preprocess(df: DataFrame, pre: Preprocess, output: str = "features") -
     for name, mid, mean, scale in zip(
         pre.prep.columns, pre.medians, pre.prep.mean, pre.prep.scale, strict=True
     ):
-        x = F.coalesce(F.col(name).cast("double"), F.lit(mid)) if name in have else F.lit(mid)
-        parts.append((x - mean) / scale)
+        x = f"coalesce(CAST(`{name}` AS DOUBLE), {number(mid)})" if name in have else number(mid)
+        parts.append(F.expr(f"({x} - ({number(mean)})) / ({number(scale)})"))
     for (name, mode), values in zip(pre.modes, pre.categories, strict=True):
         x = F.coalesce(F.col(name), F.lit(mode)) if name in have else F.lit(mode)
         parts += [(x == v).cast("double") for v in values]

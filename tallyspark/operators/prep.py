@@ -6,11 +6,9 @@ import sys
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions.numeric import finite_or_zero
-
 
 @dataclass(frozen=True)
 class Prep:
@@ -21,21 +19,22 @@ class Prep:
     scale: tuple[float, ...]
 
 
-def feature_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row per column: count, mean, population variance.
-
-    Columns turn into rows before a grouped aggregate: its code stays small however wide
-    the model is, and the shuffle carries one row per column and task.
-    """
-    long = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns]).unpivot(
+def unpivoted(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``feature, value`` rows. Grouped aggregates over them keep their code small however
+    wide the model is, and shuffle one row per column and task."""
+    return df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns]).unpivot(
         [], [F.col(f"`{c}`") for c in columns], "feature", "value"
     )
-    return long.groupBy("feature").agg(
+
+
+def feature_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row per column: count, mean, population variance."""
+    return unpivoted(df, columns).groupBy("feature").agg(
         F.count("value").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("variance")
     )
 
 
-def _scale(n: int, mean: float, variance: float) -> float:
+def deviation(n: int, mean: float, variance: float) -> float:
     """Standard deviation, or 1 when the column is constant up to rounding."""
     eps = sys.float_info.epsilon
     constant = variance <= n * eps * variance + (n * mean * eps) ** 2
@@ -56,20 +55,33 @@ def fit_prep(df: DataFrame, columns: Sequence[str], variance_threshold: float |
     return Prep(
         tuple(keep),
         tuple(stats[c]["mean"] for c in keep),
-        tuple(_scale(stats[c]["n"], stats[c]["mean"], stats[c]["variance"]) for c in keep),
+        tuple(deviation(stats[c]["n"], stats[c]["mean"], stats[c]["variance"]) for c in keep),
     )
 
 
-def scaled(df: DataFrame, prep: Prep) -> list[Column]:
-    """Scaled columns aligned by name: an absent column counts as 0, extras are ignored."""
+def number(x: float) -> str:
+    """A double as SQL text, exactly."""
+    return f"{float(x)!r}D"
+
+
+def scaled(df: DataFrame, prep: Prep) -> list[str]:
+    """SQL of the scaled columns, aligned by name: an absent column counts as 0, extras are
+    ignored. One text per column, because a call per operator adds up in a wide model."""
     have = set(df.columns)
     out = []
     for name, mean, scale in zip(prep.columns, prep.mean, prep.scale, strict=True):
-        x = F.coalesce(F.col(f"`{name}`").cast("double"), F.lit(0.0)) if name in have else F.lit(0.0)
-        out.append(finite_or_zero((x - mean) / scale).alias(name))
+        x = f"coalesce(CAST(`{name}` AS DOUBLE), 0D)" if name in have else "0D"
+        z = f"({x} - ({number(mean)})) / ({number(scale)})"
+        out.append(f"CASE WHEN abs({z}) < double('infinity') THEN {z} ELSE 0D END")
     return out
 
 
 def apply_prep(df: DataFrame, prep: Prep, output: str = "features") -> DataFrame:
     """Add the scaled features as one ``array<double>``."""
-    return df.withColumn(output, F.array(*scaled(df, prep)))
+    return df.withColumn(output, F.expr(f"array({', '.join(scaled(df, prep))})"))
+
+
+def scaled_columns(df: DataFrame, prep: Prep, keep: Sequence[str] = ()) -> DataFrame:
+    """The scaled features as named columns next to ``keep``."""
+    named = [F.expr(e).alias(c) for e, c in zip(scaled(df, prep), prep.columns, strict=True)]
+    return df.select(*keep, *named)

@@ -224,7 +224,7 @@ def q_feature_variance(spark: SparkSession, d: str) -> DataFrame:
 def q_scaled_features(spark: SparkSession, d: str) -> DataFrame:
     frame = durable(weeks(spark, d))
     prep = P.fit_prep(frame, STAT_COLUMNS, 0.01)
-    wide = frame.select(*KEY, *P.scaled(frame, prep))
+    wide = P.scaled_columns(frame, prep, KEY)
     return rounded(wide.unpivot(KEY, list(prep.columns), "feature", "value"))
 
 

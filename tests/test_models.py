@@ -203,7 +203,7 @@ def test_imputation_and_text_features(spark):
     df = spark.createDataFrame(
         [(1.0, "x"), (3.0, "y"), (None, "y"), (9.0, None)], "num double, word string"
     )
-    pre = FC.fit_preprocess(df, ["num", "word"])
+    pre = FC.fit_preprocess(df, ["num", "word"], 4)
     assert pre.medians == (3.0,) and pre.modes == (("word", "y"),) and pre.categories == (("x", "y"),)
     vals = np.array([1, 3, 3, 9.0])
     got = [r["features"] for r in FC.apply_preprocess(df, pre).collect()]
