@@ -6,9 +6,11 @@ import compare
 import pytest
 
 import __spark_entry__ as entry
+from tallyspark.plans.oracles import all_oracles
+from tallyspark.plans.queries import all_queries
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = all_queries(), all_oracles()
 FITS = sorted(set(QUERIES) - set(SQL))
 
 
@@ -33,5 +35,10 @@ def test_only_fits_lack_sql():
     ]
 
 
+def test_entry_names_hold_the_queries():
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(SQL) <= set(entry.oracle_sql())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
