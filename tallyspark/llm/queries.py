@@ -10,8 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import simhash
-from tallyspark.llm.common import table
+from tallyspark.llm import decontam, simhash, toxicity
+from tallyspark.llm.common import in_sample, table
+
+
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,9 +25,21 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    score = toxicity.scorer(toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    return docs.select(
+        "doc_id",
+        (~in_sample(toxicity.LABEL_BUCKETS, toxicity.LABEL_HELD_OUT)).alias("held_out"),
+        score("text").alias("score"),
+    ).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontaminate": op1_decontaminate,
         "op2_simhash": op2_simhash,
+        "op9_toxicity": op9_toxicity,
     }
 
 
