@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import decontam, pii, simhash, toxicity
+from tallyspark.llm import decontam, pieces, pii, simhash, toxicity
 from tallyspark.llm.common import in_sample, table
 
 
@@ -25,6 +25,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_sample_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.sample_encodings(table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", pii.finder(pii.learn())("text").alias("found")).select("doc_id", "found.*")
@@ -44,6 +48,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
         "op2_simhash": op2_simhash,
+        "op3_sample_pieces": op3_sample_pieces,
         "op7_pii": op7_pii,
         "op9_toxicity": op9_toxicity,
     }
