@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import decontam, pieces, pii, simhash, toxicity
+from tallyspark.llm import compression, decontam, pieces, pii, simhash, toxicity
 from tallyspark.llm.common import in_sample, table
 
 
@@ -34,6 +34,16 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", pii.finder(pii.learn())("text").alias("found")).select("doc_id", "found.*")
 
 
+def op8_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    score = compression.scorer(compression.learn(docs, table(spark, sf_dir, "labels")))
+    return docs.select(
+        "doc_id",
+        (~in_sample(compression.LABEL_BUCKETS, compression.LABEL_HELD_OUT)).alias("held_out"),
+        score("text").alias("score"),
+    ).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     score = toxicity.scorer(toxicity.learn(docs, table(spark, sf_dir, "labels")))
@@ -50,6 +60,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash": op2_simhash,
         "op3_sample_pieces": op3_sample_pieces,
         "op7_pii": op7_pii,
+        "op8_compression": op8_compression,
         "op9_toxicity": op9_toxicity,
     }
 
