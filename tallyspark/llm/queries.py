@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import compression, decontam, pieces, pii, simhash, substrings, toxicity
+from tallyspark.llm import compression, decontam, divergence, licenses, pieces, pii, simhash, substrings, toxicity
 from tallyspark.llm.common import in_sample, table
 
 
@@ -29,6 +29,16 @@ def op3_sample_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.sample_encodings(table(spark, sf_dir, "documents"))
 
 
+def op4_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", divergence.rules()("text").alias("found")).select("doc_id", "found.*")
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", licenses.scans()("text").alias("found")).select("doc_id", "found.*")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", pii.finder(pii.learn())("text").alias("found")).select("doc_id", "found.*")
@@ -64,6 +74,8 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontaminate": op1_decontaminate,
         "op2_simhash": op2_simhash,
         "op3_sample_pieces": op3_sample_pieces,
+        "op4_divergence": op4_divergence,
+        "op5_licenses": op5_licenses,
         "op7_pii": op7_pii,
         "op8_compression": op8_compression,
         "op9_toxicity": op9_toxicity,
