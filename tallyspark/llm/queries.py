@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import compression, decontam, divergence, licenses, pieces, pii, simhash, substrings, toxicity
+from tallyspark.llm import compression, decontam, divergence, html_text, licenses, pieces, pii, simhash, substrings, toxicity
 from tallyspark.llm.common import in_sample, table
 
 
@@ -39,6 +39,12 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", licenses.scans()("text").alias("found")).select("doc_id", "found.*")
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    text = html_text.extractor(html_text.learn())("html")
+    return pages.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", pii.finder(pii.learn())("text").alias("found")).select("doc_id", "found.*")
@@ -76,6 +82,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sample_pieces": op3_sample_pieces,
         "op4_divergence": op4_divergence,
         "op5_licenses": op5_licenses,
+        "op6_html": op6_html,
         "op7_pii": op7_pii,
         "op8_compression": op8_compression,
         "op9_toxicity": op9_toxicity,
