@@ -22,8 +22,8 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
-import ahocorasick
 import numpy as np
 import pandas as pd
 import sentencepiece
@@ -45,12 +45,92 @@ STORE_EDGES = 3_000_000
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+")
 
 
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Trie:
+    """All beginnings of the pieces by a 64-bit hash, for many lookups at once.
+
+    A few tables of slots; a hash whose slot in one table is taken lies in a later one.
+    """
+
+    BITS = 19
+
+    def __init__(self, pieces: dict[str, int]):
+        number: dict[str, int] = {}
+        for piece in pieces:
+            for z in range(1, len(piece) + 1):
+                number.setdefault(piece[:z], len(number))
+        self.piece = np.full(len(number) + 1, -1, np.int32)  # the last is of no beginning
+        for piece, i in pieces.items():
+            self.piece[number[piece]] = i
+        left = np.array([self.hash_of(p) for p in number], np.uint64)
+        if len(np.unique(left)) < len(left):
+            raise ValueError("two beginnings of pieces have one hash")
+        nodes, self.tables = np.arange(len(left)), []
+        while len(nodes):
+            slot = self.slots(left, len(self.tables))
+            _, first = np.unique(slot, return_index=True)
+            keys, values = np.zeros(2**self.BITS, np.uint64), np.full(2**self.BITS, len(number), np.int32)
+            keys[slot[first]], values[slot[first]] = left[first], nodes[first]
+            self.tables.append((keys, values))
+            rest = np.ones(len(nodes), bool)
+            rest[first] = False
+            left, nodes = left[rest], nodes[rest]
+        self.none = len(number)
+
+    @staticmethod
+    def hash_of(text: str) -> int:
+        h = 0
+        for c in text:
+            h = (h * int(_MULTIPLIER) + ord(c) + 1) % 2**64
+        return h
+
+    def slots(self, hashes: np.ndarray, table: int) -> np.ndarray:
+        mixed = (hashes ^ (hashes >> np.uint64(29 + table))) * np.uint64(0xBF58476D1CE4E5B9)
+        return (mixed >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The node of each hash, ``none`` where there is none."""
+        out = np.full(len(hashes), self.none, np.int32)
+        open_ = None
+        for t, (keys, values) in enumerate(self.tables):
+            mine = hashes if open_ is None else hashes[open_]
+            slot = self.slots(mine, t)
+            hit = keys[slot] == mine
+            if open_ is None:
+                out[hit] = values[slot[hit]]
+                open_ = np.nonzero(~hit)[0]
+            else:
+                out[open_[hit]] = values[slot[hit]]
+                open_ = open_[~hit]
+        return out
+
+    def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(piece, start, stop) of all pieces in a text of code points, by start, then by stop."""
+        at, h, size, found = np.arange(len(codes)), np.zeros(len(codes), np.uint64), 0, []
+        shifted = codes.astype(np.uint64) + np.uint64(1)
+        while len(at):
+            inside = at + size < len(codes)
+            at, h = at[inside], h[inside]
+            h = h * _MULTIPLIER + shifted[at + size]
+            size += 1
+            node = self.find(h)
+            on = node < self.none
+            at, h, piece = at[on], h[on], self.piece[node[on]]
+            whole = piece >= 0
+            found.append((piece[whole], at[whole], size))
+        ids = np.concatenate([f[0] for f in found] or [np.zeros(0, np.int32)]).astype(np.int64)
+        start = np.concatenate([f[1] for f in found] or [np.zeros(0, np.int64)])
+        stop = start + np.repeat([f[2] for f in found], [len(f[0]) for f in found]) if found else start
+        return ids, start, stop
+
+
 @dataclass
 class Vocabulary:
-    """The pieces as an automaton of their numbers, their lengths and log-weights, and the bytes of each number."""
+    """The pieces, their log-weights, and the bytes of each number."""
 
-    pieces: ahocorasick.Automaton
-    length: np.ndarray
+    trie: Trie
     weight: np.ndarray
     raw: list[bytes]
     byte_ids: list[int]
@@ -59,8 +139,7 @@ class Vocabulary:
     def load(cls, path: str = MODEL) -> Vocabulary:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.vocab_size()
-        pieces, length, weight = ahocorasick.Automaton(), np.zeros(n, np.int64), np.zeros(n)
-        raw, byte_ids = [b""] * n, [0] * 256
+        pieces, weight, raw, byte_ids = {}, np.zeros(n), [b""] * n, [0] * 256
         for i in range(n):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
@@ -68,12 +147,10 @@ class Vocabulary:
                 raw[i] = bytes([int(piece[3:-1], 16)])
             elif not (sp.is_control(i) or sp.is_unknown(i)):
                 rank = -sp.get_score(i)
-                pieces.add_word(piece, i)
-                length[i] = len(piece)
+                pieces[piece] = i
                 weight[i] = -math.log(2 + (rank if rank < 1e8 else 0))  # rank 1e9: runs of spaces
                 raw[i] = piece.encode()
-        pieces.make_automaton()
-        return cls(pieces, length, weight, raw, byte_ids)
+        return cls(Trie(pieces), weight, raw, byte_ids)
 
     def decode(self, ids) -> str:
         """The text of a piece sequence; spaces come back from their mark."""
@@ -115,12 +192,11 @@ class Store:
         inner = np.arange(len(text)) < last_of
         node_of = np.cumsum(inner) - inner + self.nodes
 
-        lasts, numbers = zip(*vocab.pieces.iter(text), (0, -1), strict=True)  # the last is none
-        ids, stop = np.array(numbers[:-1], np.int64), np.array(lasts[:-1], np.int64) + 1
-        start = stop - vocab.length[ids]
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        ids, start, stop = vocab.trie.edges(codes)
         weight, n_ids = vocab.weight[ids], np.ones(len(ids), np.int64)
         alone = inner.copy()
-        alone[start[vocab.length[ids] == 1]] = False
+        alone[start[stop == start + 1]] = False
         lone = np.nonzero(alone)[0]
         spelt: list[list[int]] = []
         if len(lone):  # characters without a piece: their bytes
@@ -294,13 +370,14 @@ def _slice_samples(store: Store, keys: list, texts: list[str], k: int) -> Iterat
     flat = [c for cs in chunks for c in cs]
     if len(store.key) > STORE_EDGES:
         store.reset()
-    new = list(dict.fromkeys(c for c in flat if c not in store.start))
-    if new:
-        store.add(new)
+    starts = np.fromiter(map(store.start.get, flat, repeat(-1)), np.int64, len(flat))
+    unknown = np.nonzero(starts < 0)[0].tolist()
+    if unknown:
+        store.add(list(dict.fromkeys(flat[i] for i in unknown)))
+        starts[unknown] = [store.start[flat[i]] for i in unknown]
     counts = np.array([len(cs) for cs in chunks], np.int64)
     ends = np.cumsum(counts)
     seeds = np.array([seed_of(key) for key in keys], np.uint64)
-    starts = np.fromiter((store.start[c] for c in flat), np.int64, len(flat))
     places = np.arange(len(flat)) - np.repeat(ends - counts, counts)
     of_text = np.repeat(seeds, counts)
     draws = []
