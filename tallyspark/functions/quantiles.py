@@ -2,8 +2,10 @@
 
 Spark's ``percentile`` keeps every distinct value of a group in one task. That is fine
 for the weeks of one entity, not for all weeks of all entities. Here a mergeable sketch
-brackets each quantile first; only the values inside the bracket, a few in ten thousand,
-are then ranked. The rank is exact because all values below the bracket are counted.
+brackets each quantile first. The values inside the bracket, a few in ten thousand, are
+counted by buckets of equal width, and only those of the one or two buckets that hold the
+rank are put in order. The rank is exact because everything below is counted. There is one
+path for every size.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SMALL_ROWS = 1_000_000
+BUCKETS = 1024
 
 
 def exact_quantiles(
@@ -21,22 +23,18 @@ def exact_quantiles(
     columns: Sequence[str],
     probs: Sequence[float],
     by: Sequence[str] = (),
-    rows: int | None = None,
     accuracy: int = 10_000,
 ) -> DataFrame:
     """One row per group: ``by`` and, for each column, an ``array<double>`` of quantiles.
 
     ``by`` must have few distinct values (cluster ids); per-entity medians belong in a
-    window instead. ``rows`` is the known row count: small inputs take the built-in
-    aggregate. ``df`` is read twice otherwise, so pass a persisted or written frame.
+    window instead. NaN counts as missing. A group without a value in a column keeps its row,
+    with null quantiles, and a null key is a group like any other. ``df`` is read twice, so
+    pass a persisted or written frame.
     """
     vals = df.select(
         *by, *[F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double")).alias(c) for c in columns]
     )
-    if rows is not None and rows <= SMALL_ROWS:
-        lits = F.array(*[F.lit(float(p)) for p in probs])
-        return vals.groupBy(*by).agg(*[F.percentile(F.col(f"`{c}`"), lits).alias(c) for c in columns])
-
     margin = 5.0 / accuracy
     edges = [e for p in probs for e in (max(0.0, p - margin), min(1.0, p + margin))]
     sketch = vals.groupBy(*by).agg(
@@ -49,8 +47,7 @@ def exact_quantiles(
         ]
     )
     if by:
-        # as many rows as ``by`` has values
-        held = vals.join(F.broadcast(sketch), [*by])
+        held = _same(vals, sketch, by)
         spec = {i: F.col(f"_s{i}") for i in range(len(columns))}
     else:
         row = sketch.select(F.struct("*")).scalar()
@@ -63,40 +60,46 @@ def exact_quantiles(
         for j in range(len(probs)):
             # below ``accuracy`` values the bracket may be narrower than a rank: take them all
             few = spec[i]["n"] <= accuracy
-            lo = F.when(few, float("-inf")).otherwise(spec[i]["edges"][2 * j])
-            hi = F.when(few, float("inf")).otherwise(spec[i]["edges"][2 * j + 1])
+            lo, hi = spec[i]["edges"][2 * j], spec[i]["edges"][2 * j + 1]
+            part = F.when(few | (hi <= lo), 0).otherwise(
+                F.least(F.lit(BUCKETS - 1), F.floor((x - lo) / (hi - lo) * BUCKETS))
+            )
             marks.append(
                 F.when(
-                    x <= hi,
+                    few & x.isNotNull() | (x <= hi),
                     F.struct(
                         F.lit(i).alias("i"), F.lit(j).alias("j"), spec[i]["n"].alias("n"),
-                        F.when(x >= lo, x).alias("x"),
+                        # what lies below the bracket is only counted
+                        F.when(few | (x >= lo), part.cast("int")).otherwise(-1).alias("part"),
+                        F.when(few | (x >= lo), x).alias("x"),
                     ),
                 )
             )
     counted = (
         held.select(*by, F.inline(F.array_compact(F.array(*marks))))
-        .groupBy(*by, "i", "j", "n", "x")
+        .groupBy(*by, "i", "j", "n", "part", "x")
         .agg(F.count(F.lit(1)).alias("m"))
     )
-    order = Window.partitionBy(*by, "i", "j").orderBy(F.asc_nulls_first("x"))
     h = F.lit(0.0)
     for j, p in enumerate(probs):
         h = F.when(F.col("j") == j, (F.col("n") - 1) * F.lit(float(p))).otherwise(h)
-    ranked = counted.withColumns({"upto": F.sum("m").over(order), "h": h})
-    below = F.coalesce(F.max(F.when(F.col("x").isNull(), F.col("m"))), F.lit(0))
-    picked = ranked.groupBy(*by, "i", "j").agg(
-        below.alias("below"),
+    at = [*by, "i", "j"]
+    upto = F.sum("m").over(Window.partitionBy(*at).orderBy("part"))
+    # at most BUCKETS + 1 rows for a group, column and quantile
+    parts = counted.groupBy(*at, "n", "part").agg(F.sum("m").alias("m")).withColumns({"h": h, "upto": upto})
+    wanted = parts.where(
+        (F.col("part") >= 0) & (F.col("upto") > F.floor("h")) & (F.col("upto") - F.col("m") <= F.ceil("h"))
+    ).select(*at, "part", "h", (F.col("upto") - F.col("m")).alias("before"))
+    inner = _same(counted.drop("n"), wanted, [*at, "part"])
+    upto = F.col("before") + F.sum("m").over(Window.partitionBy(*at, "part").orderBy("x"))
+    picked = inner.withColumn("upto", upto).groupBy(*at).agg(
         F.first("h").alias("h"),
         F.min(F.when(F.col("upto") > F.floor("h"), F.col("x"))).alias("v0"),
         F.min(F.when(F.col("upto") > F.ceil("h"), F.col("x"))).alias("v1"),
     )
-    value = F.when(
-        (F.col("below") > F.floor("h")) | F.col("v1").isNull(),
-        F.raise_error(F.lit("quantile outside its bracket: raise accuracy")).cast("double"),
-    ).otherwise(F.col("v0") + (F.col("h") - F.floor("h")) * (F.col("v1") - F.col("v0")))
+    value = F.col("v0") + (F.col("h") - F.floor("h")) * (F.col("v1") - F.col("v0"))
     values = picked.select(*by, "i", "j", value.alias("v"))
-    return values.groupBy(*by).agg(
+    found = values.groupBy(*by).agg(
         *[
             F.array(
                 *[
@@ -107,11 +110,18 @@ def exact_quantiles(
             for i, c in enumerate(columns)
         ]
     )
+    # groups none of whose columns has a value
+    return _same(sketch.select(*by), found, by, "left") if by else found
 
 
-def exact_medians(
-    df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), rows: int | None = None
-) -> DataFrame:
+def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which a null equals a null."""
+    other = right.withColumnsRenamed({k: f"_{k}" for k in keys})
+    on = [left[k].eqNullSafe(other[f"_{k}"]) for k in keys]
+    return left.join(other, on, how).drop(*[f"_{k}" for k in keys])
+
+
+def exact_medians(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """As ``exact_quantiles`` for the median, one double per column."""
-    q = exact_quantiles(df, columns, [0.5], by, rows)
+    q = exact_quantiles(df, columns, [0.5], by)
     return q.select(*by, *[F.col(f"`{c}`")[0].alias(c) for c in columns])

@@ -31,10 +31,10 @@ def anomaly_score(df: DataFrame, centroids: Centroids, features: str = "features
 
 
 def fit_thresholds(
-    scored: DataFrame, anomaly_percentile: float = 95, severe_percentile: float = 99, rows: int | None = None
+    scored: DataFrame, anomaly_percentile: float = 95, severe_percentile: float = 99
 ) -> DataFrame:
     """One row with both cut-offs, linearly interpolated between neighbouring scores."""
-    q = exact_quantiles(scored, [SCORE], [anomaly_percentile / 100.0, severe_percentile / 100.0], rows=rows)
+    q = exact_quantiles(scored, [SCORE], [anomaly_percentile / 100.0, severe_percentile / 100.0])
     return q.select(
         F.col(SCORE)[0].alias("anomaly_score_threshold"),
         F.col(SCORE)[1].alias("severe_anomaly_score_threshold"),
@@ -48,8 +48,8 @@ def with_flags(scored: DataFrame, anomaly: Column | float, severe: Column | floa
     )
 
 
-def score_stats(flagged: DataFrame, rows: int | None = None) -> DataFrame:
-    median = exact_quantiles(flagged, [SCORE], [0.5], rows=rows).select(F.col(SCORE)[0]).scalar()
+def score_stats(flagged: DataFrame) -> DataFrame:
+    median = exact_quantiles(flagged, [SCORE], [0.5]).select(F.col(SCORE)[0]).scalar()
     return flagged.agg(
         F.min(SCORE).alias("score_min"),
         F.avg(SCORE).alias("score_mean"),
@@ -112,10 +112,10 @@ def fit_anomaly(
         prepared, prep.columns, config.n_clusters, config.n_init, config.max_iter, config.seed
     )
     scored = anomaly_score(prepared, centroids)
-    cut = fit_thresholds(scored, config.anomaly_percentile, config.severe_percentile, n).first()
+    cut = fit_thresholds(scored, config.anomaly_percentile, config.severe_percentile).first()
     model = AnomalyModel(prep, centroids, cut[0], cut[1])
     flagged = with_flags(scored, *cut)
-    metrics = score_stats(flagged, n).withColumns(
+    metrics = score_stats(flagged).withColumns(
         {
             "training_rows": F.lit(n),
             "anomaly_score_threshold": F.lit(cut[0]),

@@ -81,17 +81,23 @@ def normalise_ledger(
     df = each(null_tokens, text) if read_nulls else df
     df = each(strip_space, text)
     date, amount = F.col("Date"), F.col("Amount")
-    row = F.struct(
-        (parse_date(date, date_formats) if "Date" in text else date.cast("timestamp_ntz")).alias("Date"),
-        norm_text(F.col("Description")).alias("Description"),
-        F.abs(parse_amount(amount) if "Amount" in text else not_nan(amount.cast("double"))).alias("Amount"),
-        norm_text(F.col("Transaction Type")).alias("Transaction Type"),
-        norm_text(F.col("Category")).alias("Category"),
-        norm_text(F.col("Account Name")).alias("Account Name"),
-    )
-    # A filter moves below projections and would repeat every parse inside itself, in code
-    # too long for the JIT compiler. It does not move below a generator of one row.
-    return df.select(*entity_cols, F.inline(F.array(row))).filter(
+    row = {
+        "Date": parse_date(date, date_formats) if "Date" in text else _as_ntz(date, types["Date"]),
+        "Description": norm_text(F.col("Description")),
+        "Amount": F.abs(parse_amount(amount) if "Amount" in text else not_nan(amount.cast("double"))),
+        "Transaction Type": norm_text(F.col("Transaction Type")),
+        "Category": norm_text(F.col("Category")),
+        "Account Name": norm_text(F.col("Account Name")),
+    }
+    named = [value.alias(name) for name, value in row.items()]
+    if {"Date", "Amount"} & set(text):
+        # A filter moves below projections and would repeat every parse inside itself, in code
+        # too long for the JIT compiler. It does not move below a generator of one row.
+        rows = df.select(*entity_cols, F.inline(F.array(F.struct(*named))))
+    else:
+        # nothing to parse: filters, the caller's too, go on to the scan
+        rows = df.select(*entity_cols, *named)
+    return rows.filter(
         F.col("Date").isNotNull()
         & F.col("Category").isNotNull()
         & F.col("Transaction Type").isin(*TYPES)
@@ -99,6 +105,11 @@ def normalise_ledger(
     )
 
 
+def _as_ntz(date: Column, kind: str) -> Column:
+    """A cast that is none leaves the column bare, as a pushed filter needs it."""
+    return date if kind == "timestamp_ntz" else date.cast("timestamp_ntz")
+
+
 def clean_ledger(
     df: DataFrame,
     entity_cols: Sequence[str] = (),

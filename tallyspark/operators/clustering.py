@@ -270,13 +270,13 @@ def profile_label(total: Column, min_cluster_ratio: float) -> Column:
     return chain.otherwise(F.lit("genel_davranis_profili"))
 
 
-def cluster_summary(df: DataFrame, min_cluster_ratio: float = 0.05, rows: int | None = None) -> DataFrame:
+def cluster_summary(df: DataFrame, min_cluster_ratio: float = 0.05) -> DataFrame:
     """One row per cluster: means, medians, size, profile label."""
     columns = [c for c in SUMMARY_COLUMNS if c in df.columns]
     means = df.groupBy(LABEL).agg(
         F.count(F.lit(1)).alias("cluster_size"), *[F.avg(c).alias(f"{c}_mean") for c in columns]
     )
-    medians = exact_medians(df, columns, [LABEL], rows)
+    medians = exact_medians(df, columns, [LABEL])
     medians = medians.select(LABEL, *[F.col(c).alias(f"{c}_median") for c in columns])
     both = means.join(medians, LABEL, "left")
     for name in SUMMARY_COLUMNS:  # a feature absent from the frame counts as 0 in the rules

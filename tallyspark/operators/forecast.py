@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyspark.config import ForecastConfig
-from tallyspark.functions.quantiles import SMALL_ROWS, exact_medians
+from tallyspark.functions.quantiles import exact_medians
 from tallyspark.operators.monthly import MONTH, TARGET
 from tallyspark.operators.prep import Prep, deviation, feature_stats, number, unpivoted
 from tallyspark.session import durable
@@ -90,19 +90,12 @@ def _text_columns(df: DataFrame, features: Sequence[str]) -> list[str]:
 def fit_preprocess(df: DataFrame, features: Sequence[str], rows: int) -> Preprocess:
     """One row per feature reaches the driver, and one per category of a text feature.
 
-    Mean and deviation after imputation follow from the counts, so the rows are read once
-    (twice when the medians need the two-step quantiles of a large input).
+    Mean and deviation after imputation follow from the counts.
     """
     texts = _text_columns(df, features)
     numbers = [f for f in features if f not in texts]
-    if rows <= SMALL_ROWS:
-        stats = unpivoted(df, numbers).groupBy("feature").agg(
-            F.count("value").alias("n"), F.avg("value").alias("mean"),
-            F.var_pop("value").alias("variance"), F.median("value").alias("median"),
-        )
-    else:
-        medians = exact_medians(unpivoted(df, numbers), ["value"], ["feature"], rows)
-        stats = feature_stats(df, numbers).join(medians.withColumnRenamed("value", "median"), "feature")
+    medians = exact_medians(unpivoted(df, numbers), ["value"], ["feature"])
+    stats = feature_stats(df, numbers).join(medians.withColumnRenamed("value", "median"), "feature", "left")
     by_name = {r["feature"]: r for r in stats.collect()}
     mids, means, scales = [], [], []
     for c in numbers:

@@ -48,7 +48,7 @@ def fit_profiler(
     evaluation, centroids = evaluate_ks(prepared, keys, prep.columns, config)
     labelled = assign(prepared, centroids).drop("features", "nearest_distance")
     before, after = weeks.count(), kept.count()
-    summary = cluster_summary(labelled, config.min_cluster_ratio, after)
+    summary = cluster_summary(labelled, config.min_cluster_ratio)
     summary = weeks.sparkSession.createDataFrame(summary.collect(), summary.schema)  # k rows
     scope = weeks.sparkSession.range(1).select(
         F.lit(before).alias("original_weekly_count"),

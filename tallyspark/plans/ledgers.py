@@ -94,4 +94,6 @@ def dirty_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("Category"),
         F.when(every(19, 1), "None").otherwise(F.col("o_orderpriority")).alias("Account Name "),
     )
-    return rows.unionByName(rows.filter(F.col("Account Name ") == "1-URGENT"))
+    # urgent rows stand twice; one pass over the tables, not a union of two
+    times = F.when(F.col("Account Name ") == "1-URGENT", 2).otherwise(1)
+    return rows.select("*", F.explode(F.sequence(F.lit(1), times)).alias("_copy")).drop("_copy")

@@ -9,12 +9,12 @@ from tallyspark.functions.text import null_tokens
 from tallyspark.operators.cleaning import trim_headers
 
 
-def read_ledger(spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = True) -> DataFrame:
+def read_ledger(spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = False) -> DataFrame:
     """A raw ledger from CSV, JSON, parquet, ORC or a table.
 
     CSV columns are matched by header name and stay text; missing-value tokens become null
-    before anything is trimmed. A multi-line file is read by one task each: pass
-    ``multi_line=False`` for large files without line breaks inside quotes.
+    before anything is trimmed. Files with line breaks inside quotes need ``multi_line=True``;
+    each of them is then read by one task.
     """
     if fmt == "table":
         return trim_headers(spark.read.table(path))

@@ -116,3 +116,17 @@ def test_true_income(ledger):
 def test_parse_is_not_repeated_in_the_filter(ledger):
     plan = clean_ledger(ledger([OK]), read_nulls=True)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("as timestamp_ntz") == 1
+
+
+def test_filters_on_typed_ledgers_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "typed")
+    spark.sql(
+        "SELECT timestamp_ntz'2024-03-04 10:00:00' AS Date, 'a' AS Description, 5.0D AS Amount, "
+        "'debit' AS `Transaction Type`, 'food' AS Category, 'x' AS `Account Name`"
+    ).write.parquet(path)
+    rows = clean_ledger(spark.read.parquet(path)).filter("Date >= timestamp_ntz'2024-01-01'")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters") :].split("\n")[0]
+    assert "GreaterThanOrEqual(Date,2024-01-01" in pushed
+    assert rows.count() == 1

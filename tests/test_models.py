@@ -17,20 +17,41 @@ from tallyspark.operators.profiler import fit_profiler, predict_profile
 from tallyspark.sources.models import load_model, save_model, write_metrics
 
 
-@pytest.mark.parametrize("rows", [None, 10])
-def test_quantiles_are_exact(spark, rows):
+def test_quantiles_are_exact(spark):
     rng = np.random.default_rng(0)
     values = np.round(rng.gamma(2.0, 3.0, 40000), 3)
     values[:13000] = 4.0  # one value holds a third
     df = spark.createDataFrame([(float(v), int(i % 3)) for i, v in enumerate(values)], "v double, g int")
     probs = [0.0, 0.25, 0.5, 0.95, 0.99, 1.0]
-    got = exact_quantiles(df, ["v"], probs, rows=rows, accuracy=1000).first()["v"]
+    got = exact_quantiles(df, ["v"], probs, accuracy=1000).first()["v"]
     assert got == pytest.approx(list(np.quantile(values, probs)))
-    by = {r["g"]: r["v"] for r in exact_quantiles(df, ["v"], probs, ["g"], rows, 1000).collect()}
+    by = {r["g"]: r["v"] for r in exact_quantiles(df, ["v"], probs, ["g"], 1000).collect()}
     for g in range(3):
         assert by[g] == pytest.approx(list(np.quantile(values[np.arange(40000) % 3 == g], probs)))
 
 
+@pytest.mark.parametrize("accuracy", [10, 10_000])
+def test_quantiles_of_odd_groups(spark, accuracy):
+    """Null keys, groups without a value, ties, NaN: as the built-in aggregate, at either bracket width."""
+    rng = np.random.default_rng(1)
+    rows = [(None, float(v)) for v in rng.normal(size=300)] + [("tie", 2.0)] * 90 + [("tie", 3.0)]
+    rows += [("none", None), ("none", float("nan")), ("one", 7.5), ("two", float("nan")), ("two", 1.0), ("two", 4.0)]
+    df = spark.createDataFrame([(g, v, None if v is None else -v) for g, v in rows], "g string, v double, w double")
+    probs = [0.0, 0.1, 0.5, 0.75, 1.0]
+    got = {r["g"]: (r["v"], r["w"]) for r in exact_quantiles(df, ["v", "w"], probs, ["g"], accuracy).collect()}
+    plain = df.selectExpr("g", "nullif(v, double('NaN')) v", "nullif(w, double('NaN')) w").groupBy("g")
+    lits = "array(" + ", ".join(f"{p}D" for p in probs) + ")"
+    want = {
+        r["g"]: (r["v"], r["w"])
+        for r in plain.agg(F.expr(f"percentile(v, {lits})").alias("v"), F.expr(f"percentile(w, {lits})").alias("w")).collect()
+    }
+    assert set(got) == set(want) == {None, "tie", "none", "one", "two"}
+    for g, pair in want.items():
+        for a, b in zip(got[g], pair, strict=True):
+            assert a is None or a == [None] * 5 if b is None else a == pytest.approx(b), g
+    assert exact_quantiles(df.where("false"), ["v"], probs).first()["v"] == [None] * 5
+
+
 def test_population_variance_selects(spark):
     # population variance .0089 is below the limit, the sample variance .0133 is not
     df = spark.createDataFrame([(0.0, 1.0), (0.0, 5.0), (0.2, 9.0)], "a double, b double")
