@@ -25,22 +25,23 @@ from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import sentencepiece
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import (
     ArrayType, BooleanType, DoubleType, IntegerType, StructField, StructType,
 )
 
-from tallyspark.llm.common import slices, strings
-
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 SPACE = "▁"
 #: Edges kept in a worker's store of lattices before it starts anew.
-STORE_EDGES = 3_000_000
+STORE_EDGES = 2_000_000
+#: Characters of texts in work at once.
+SLICE_CHARS = 400_000
 
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+")
 
@@ -172,14 +173,31 @@ class Store:
 
     def reset(self) -> None:
         self.start: dict[str, int] = {}
-        self.nodes = 0
-        self.key = np.zeros(0)  # node + cumulated probability, the order edges are drawn by
-        self.log_q = np.zeros(0, np.float32)
-        self.log_rest = np.zeros(0, np.float32)  # log of the mass of the node's other edges
-        self.next = np.zeros(0, np.int32)  # the node an edge leads to, -1 at the chunk's end
-        self.first = np.zeros(1, np.int64)  # a node's first edge
-        self.n_ids = np.zeros(0, np.int32)
-        self.flat_ids = np.zeros(0, np.int32)
+        self.nodes = self.edges = self.n_flat = 0
+        if not hasattr(self, "key"):
+            self.key = np.zeros(0)  # node + cumulated probability, the order edges are drawn by
+            self.log_q = np.zeros(0, np.float32)
+            self.log_rest = np.zeros(0, np.float32)  # log of the mass of the node's other edges
+            self.next = np.zeros(0, np.int32)  # the node an edge leads to, -1 at the chunk's end
+            self.first = np.zeros(1, np.int32)  # a node's first edge; after the last node, their number
+            self.n_ids = np.zeros(0, np.int32)
+            self.id_at = np.zeros(0, np.int32)
+            self.flat_ids = np.zeros(0, np.int32)
+
+    def _put(self, name: str, at: int, values: np.ndarray) -> None:
+        """Write behind what is there; arrays grow by half, so that few copies are made."""
+        own = getattr(self, name)
+        if at + len(values) > len(own):
+            grown = np.zeros(max(at + len(values), len(own) * 3 // 2), own.dtype)
+            grown[:at] = own[:at]
+            setattr(self, name, grown)
+            own = grown
+        own[at : at + len(values)] = values
+
+    def edges_at(self, edge: int) -> range:
+        """All edges of the node that ``edge`` starts from."""
+        node = int(np.searchsorted(self.first[: self.nodes + 1], edge, side="right")) - 1
+        return range(int(self.first[node]), int(self.first[node + 1]))
 
     def add(self, chunks: list[str]) -> None:
         """Build the lattices of new chunks, all at once: ``\\0`` keeps them apart in one text."""
@@ -233,20 +251,22 @@ class Store:
         with np.errstate(divide="ignore"):
             log_rest = np.log(rest)
         self.start.update(zip(chunks, node_of[bases].tolist(), strict=True))
-        self.first = np.concatenate([self.first[:-1], head + len(self.key), [len(self.key) + len(start)]])
-        self.key = np.concatenate([self.key, node_of[start] + share])
-        self.log_q = np.concatenate([self.log_q, log_q.astype(np.float32)])
-        self.log_rest = np.concatenate([self.log_rest, log_rest.astype(np.float32)])
+        self._put("first", self.nodes, np.append(head, len(start)) + self.edges)
+        self._put("key", self.edges, node_of[start] + share)
+        self._put("log_q", self.edges, log_q)
+        self._put("log_rest", self.edges, log_rest)
         at_end = stop == last_of[start]
-        self.next = np.concatenate([self.next, np.where(at_end, -1, node_of[np.minimum(stop, len(text) - 1)]).astype(np.int32)])
-        self.n_ids = np.concatenate([self.n_ids, n_ids.astype(np.int32)])
-        self.id_at = (np.cumsum(self.n_ids) - self.n_ids).astype(np.int32)
-        flat = np.repeat(ids, n_ids)
+        self._put("next", self.edges, np.where(at_end, -1, node_of[np.minimum(stop, len(text) - 1)]))
         where = np.cumsum(n_ids) - n_ids
+        self._put("n_ids", self.edges, n_ids)
+        self._put("id_at", self.edges, where + self.n_flat)
+        flat = np.repeat(ids, n_ids)
         for e in np.nonzero(ids < 0)[0].tolist():
             flat[where[e] : where[e] + n_ids[e]] = spelt[-1 - ids[e]]
-        self.flat_ids = np.concatenate([self.flat_ids, flat.astype(np.int32)])
+        self._put("flat_ids", self.n_flat, flat)
         self.nodes += int(lengths.sum())
+        self.edges += len(start)
+        self.n_flat += len(flat)
 
     def pick(self, node: np.ndarray, u) -> np.ndarray:
         """The edge of each node at quantile ``u`` of its edges' probabilities."""
@@ -321,8 +341,7 @@ class Search:
         before = np.concatenate([[0.0], np.cumsum(log_q)])
         mass = before[:-1] + store.log_rest[path]
         for step, edges in barred.items():
-            node = int(np.searchsorted(store.first, path[step], side="right")) - 1
-            rest = [e for e in range(store.first[node], store.first[node + 1]) if e not in edges]
+            rest = [e for e in store.edges_at(path[step]) if e not in edges]
             total = sum(math.exp(store.log_q[e]) for e in rest)
             mass[step] = before[step] + (math.log(total) if total > 0 else -math.inf)
         values = _truncated(mass, bound, uniform(self.seed, 1000 + draw, np.arange(len(path)), 0))
@@ -345,9 +364,8 @@ class Search:
                 return self.found, value
             values, path, chunk, barred = self.agenda[n]
             store, draw = self.store, len(self.found)
-            node = int(np.searchsorted(store.first, path[step], side="right")) - 1
             gone = barred.get(step, {int(path[step])}) | {int(path[step])}
-            rest = [e for e in range(store.first[node], store.first[node + 1]) if e not in gone]
+            rest = [e for e in store.edges_at(path[step]) if e not in gone]
             weights = np.exp(store.log_q[rest])
             at = float(uniform(self.seed, 2000 + draw, step, 0)) * weights.sum()
             edge = rest[min(int(np.searchsorted(np.cumsum(weights), at, side="right")), len(rest) - 1)]
@@ -368,7 +386,7 @@ class Search:
 def _slice_samples(store: Store, keys: list, texts: list[str], k: int) -> Iterator[list[tuple]]:
     chunks = [_CHUNK.findall(marked(t)) for t in texts]
     flat = [c for cs in chunks for c in cs]
-    if len(store.key) > STORE_EDGES:
+    if store.edges > STORE_EDGES:
         store.reset()
     starts = np.fromiter(map(store.start.get, flat, repeat(-1)), np.int64, len(flat))
     unknown = np.nonzero(starts < 0)[0].tolist()
@@ -421,20 +439,42 @@ def sample_encodings(
         + [StructField("decodes", BooleanType())]
     )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = Vocabulary.load(model)
         store = Store(vocab)
         for batch in batches:
-            keys, done = batch["doc_id"].tolist(), 0
-            keys = [None if key != key else int(key) if isinstance(key, float) and key.is_integer() else key for key in keys]
-            for texts in slices(strings(batch["text"])):
-                mine = keys[done : done + len(texts)]
-                done += len(texts)
-                rows = []
-                for key, text, samples in zip(mine, texts, _slice_samples(store, mine, texts, k), strict=True):
+            keys, texts = batch.column(0), batch.column(1)
+            # texts become Python strings slice by slice, not all of a batch at once
+            for a, part in slices_of(texts, SLICE_CHARS):
+                mine = keys.slice(a, len(part))
+                rows, found = [], []
+                for i, (text, samples) in enumerate(zip(part, _slice_samples(store, mine.to_pylist(), part, k), strict=True)):
                     want = text.replace(SPACE, " ")
-                    for i, (log_p, value, inclusion, ids) in enumerate(samples, 1):
-                        rows.append((key, i, ids, len(ids), log_p, value, inclusion, vocab.decode(ids.tolist()) == want))
-                yield pd.DataFrame(rows, columns=schema.names)
-
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+                    for j, (log_p, value, inclusion, ids) in enumerate(samples, 1):
+                        rows.append((i, j, len(ids), log_p, value, inclusion, vocab.decode(ids.tolist()) == want))
+                        found.append(ids)
+                at, number, n, *scores, same = zip(*rows, strict=True)
+                ends = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+                columns = [mine.take(pa.array(at)), number, pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found), pa.int32())), n, *scores, same]
+                yield pa.RecordBatch.from_arrays(
+                    [c.cast(t) if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, arrow.types, strict=True)],
+                    schema=arrow,
+                )
+
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+
+
+def slices_of(column: pa.Array, budget: int) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts of about ``budget`` characters with the first one's row; nulls as empty."""
+    first, run, size = 0, [], 0
+    for i in range(len(column)):
+        text = column[i].as_py() or ""
+        if run and size + len(text) > budget:
+            yield first, run
+            first, run, size = i, [], 0
+        run.append(text)
+        size += len(text)
+    if run:
+        yield first, run
