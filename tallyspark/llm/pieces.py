@@ -335,18 +335,26 @@ class Search:
         self.found: list[tuple[float, float, np.ndarray]] = []
 
     def _push(self, path, chunk, bound: float, from_step: int, barred: dict[int, set]) -> None:
-        """Score the sets split off along ``path`` from ``from_step`` on."""
-        store, draw = self.store, len(self.found)
+        """Score the sets split off along ``path`` from ``from_step`` on.
+
+        A Gumbel number made of 53 random bits is below 38, so sets of a mass under e^-38 of the
+        best value found can't be the best of their path; the scoring stops where they begin.
+        """
+        store, draw, n = self.store, len(self.found), 256
         log_q = store.log_q[path].astype(np.float64)
-        before = np.concatenate([[0.0], np.cumsum(log_q)])
-        mass = before[:-1] + store.log_rest[path]
-        for step, edges in barred.items():
-            rest = [e for e in store.edges_at(path[step]) if e not in edges]
-            total = sum(math.exp(store.log_q[e]) for e in rest)
-            mass[step] = before[step] + (math.log(total) if total > 0 else -math.inf)
-        values = _truncated(mass, bound, uniform(self.seed, 1000 + draw, np.arange(len(path)), 0))
-        values[:from_step] = -math.inf
-        self.found.append((float(before[-1]), bound, path))
+        while True:
+            before = np.concatenate([[0.0], np.cumsum(log_q[:n])])
+            mass = before[:-1] + store.log_rest[path[:n]]
+            for step, edges in barred.items():
+                if step < n:
+                    total = sum(math.exp(store.log_q[e]) for e in store.edges_at(path[step]) if e not in edges)
+                    mass[step] = before[step] + (math.log(total) if total > 0 else -math.inf)
+            values = _truncated(mass, bound, uniform(self.seed, 1000 + draw, np.arange(len(mass)), 0))
+            values[:from_step] = -math.inf
+            if n >= len(path) or before[-1] < values.max() - 38:
+                break
+            n *= 4
+        self.found.append((float(log_q.sum()), bound, path))
         self.agenda.append([values, path, chunk, barred])
 
     def best(self) -> tuple[float, int, int]:
