@@ -16,7 +16,7 @@ class ProfilerConfig:
     n_init: int = 40
     max_iter: int = 800
     seed: int = 42
-    silhouette_exact_rows: int = 2000
+    silhouette_measure: str = "euclidean"  # or "squared": one pass, for many rows
 
 
 @dataclass(frozen=True)

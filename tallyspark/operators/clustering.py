@@ -144,30 +144,29 @@ def davies_bouldin(df: DataFrame, dim: int, features: str = "features") -> DataF
     return packed.select((total / F.size("g")).alias("davies_bouldin"))
 
 
-def silhouette(
-    df: DataFrame, key_cols: Sequence[str], exact_rows: int = 2000, features: str = "features"
-) -> DataFrame:
-    """One row: mean Euclidean silhouette and the number of rows it averages.
-
-    The measure compares all pairs of rows. Up to ``exact_rows`` rows that is what is
-    computed. Beyond, it is the mean over that many rows, chosen by a hash of the key, each
-    of them still compared with every row; ``silhouette_rows`` shows which was done.
-    Distances are summed per partition against the chosen rows (a matrix of fixed size) and
-    only those sums are shuffled.
-    """
-    chosen = (
-        df.select(F.xxhash64(*key_cols).alias("h"), *key_cols, LABEL, features)
-        .orderBy("h", *key_cols)
-        .limit(exact_rows)
-        .collect()
+def _silhouette_value(per_row: DataFrame, own: str) -> DataFrame:
+    """From (s, other, d, n, own), a row's distances summed by cluster, to the sum of the rows' values."""
+    same = F.col("other") == F.col(own)
+    per_row = per_row.groupBy("s").agg(
+        F.max(F.when(same & (F.col("n") > 1), F.col("d") / F.nullif(F.col("n") - 1, F.lit(0)))).alias("a"),
+        F.min(F.when(~same, F.col("d") / F.col("n"))).alias("b"),
     )
+    return per_row.agg(F.sum(_width("a", "b")).alias("total"), F.count(F.lit(1)).alias("silhouette_rows"))
+
+
+def _width(a: str, b: str) -> Column:
+    a, b = F.col(a), F.col(b)
+    return F.when(a.isNotNull() & b.isNotNull() & (F.greatest(a, b) > 0), (b - a) / F.greatest(a, b)).otherwise(0.0)
+
+
+def _block_sums(df: DataFrame, chosen: list, features: str) -> DataFrame:
+    """Sums over all rows of the distances to each row of one block, by cluster of the rows."""
     points = np.array([r[features] for r in chosen], dtype=float)
-    own = [r[LABEL] for r in chosen]
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(points)
+    shared = df.sparkSession.sparkContext.broadcast(points)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mine = shared.value
+        square = (mine * mine).sum(1)[:, None]
         total: dict[int, np.ndarray] = {}
         seen: dict[int, int] = {}
         for pdf in batches:
@@ -175,31 +174,89 @@ def silhouette(
                 x = np.array(part[features].tolist(), dtype=float)
                 for start in range(0, len(x), 1000):
                     block = x[start : start + 1000]
-                    sq = np.zeros((len(mine), len(block)))
-                    for j in range(mine.shape[1]):
-                        sq += (mine[:, j : j + 1] - block[:, j]) ** 2
+                    sq = square + (block * block).sum(1) - 2 * (mine @ block.T)
+                    # where the difference of large squares is all rounding, take the plain form
+                    i, j = np.nonzero(sq < 1e-9 * (square + (block * block).sum(1)))
+                    for k in range(0, len(i), 10_000):
+                        near = i[k : k + 10_000], j[k : k + 10_000]
+                        sq[near] = ((mine[near[0]] - block[near[1]]) ** 2).sum(1)
                     total[label] = total.get(label, 0.0) + np.sqrt(sq).sum(axis=1)
                 seen[label] = seen.get(label, 0) + len(x)
         for label, t in total.items():
             yield pd.DataFrame({"s": range(len(mine)), "other": label, "d": t, "n": seen[label]})
 
     parts = df.select(LABEL, features).mapInPandas(sums, "s int, other int, d double, n long")
-    labels = spark.createDataFrame([(i, int(c)) for i, c in enumerate(own)], "s int, own int")
-    means = (
-        parts.groupBy("s", "other")
-        .agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
-        .join(F.broadcast(labels), "s")  # at most exact_rows rows
+    labels = df.sparkSession.createDataFrame([(i, int(r[LABEL])) for i, r in enumerate(chosen)], "s int, own int")
+    means = parts.groupBy("s", "other").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
+    return means.join(F.broadcast(labels), "s")  # the rows of a block
+
+
+def silhouette(
+    df: DataFrame, key_cols: Sequence[str], measure: str = "euclidean", features: str = "features",
+    block_rows: int = 2000,
+) -> DataFrame:
+    """One row: the mean silhouette of all rows, and their number.
+
+    ``euclidean`` compares all pairs: rows are taken in blocks by a hash of the key, each block
+    meets every row and only sums by row and cluster move. That is quadratic work, meant for
+    single ledgers. ``squared`` uses squared distances, whose sums follow from each cluster's
+    count, sum and sum of squares: one pass and linear work, for any number of rows. The
+    caller chooses; the number of rows never does.
+    """
+    if measure == "squared":
+        return _squared_silhouette(df, features)
+    if measure != "euclidean":
+        raise ValueError(f"measure must be 'euclidean' or 'squared', not {measure!r}")
+    n_blocks = max(1, -(-df.count() // block_rows))
+    rows = df.select(F.pmod(F.xxhash64(*key_cols), F.lit(n_blocks)).alias("_block"), *key_cols, LABEL, features)
+    parts = []
+    for b in range(n_blocks):
+        chosen = rows.where(F.col("_block") == b).orderBy(*key_cols).collect()
+        if chosen:
+            parts.append(_silhouette_value(_block_sums(df, chosen, features), "own"))
+    if not parts:
+        return df.agg(F.lit(None).cast("double").alias("silhouette"), F.lit(0).cast("long").alias("silhouette_rows"))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    n = F.sum("silhouette_rows")
+    return every.agg((F.sum("total") / n).alias("silhouette"), n.alias("silhouette_rows"))
+
+
+def _squared_silhouette(df: DataFrame, features: str) -> DataFrame:
+    """Mean squared distance to a cluster = |x|^2 - 2 x.S/n + Q/n for its count n, sum S, sum of squares Q."""
+    spots = df.select(LABEL, F.posexplode(F.col(features)).alias("i", "v"))
+    sums = spots.groupBy(LABEL, "i").agg(F.sum("v").alias("v"), F.sum(F.col("v") * F.col("v")).alias("q"))
+    sums = sums.groupBy(LABEL).agg(
+        F.array_sort(F.collect_list(F.struct("i", "v"))).alias("s"), F.sum("q").alias("q")
     )
-    same = F.col("other") == F.col("own")
-    per_row = means.groupBy("s").agg(
-        F.max(F.when(same & (F.col("n") > 1), F.col("d") / F.nullif(F.col("n") - 1, F.lit(0)))).alias("a"),
-        F.min(F.when(~same, F.col("d") / F.col("n"))).alias("b"),
+    counts = cluster_sizes(df)
+    packed = sums.join(counts, LABEL).select(
+        F.struct(LABEL, F.transform("s", lambda t: t["v"]).alias("s"), "q", F.col("cluster_size").alias("n")).alias("c")
+    ).agg(F.collect_list("c").alias("g"))  # k rows
+
+    def plus(x: Column, y: Column) -> Column:
+        return x + y
+
+    held = df.select(LABEL, F.col(features).alias("x")).withColumn("g", packed.scalar())
+    square = F.aggregate("x", F.lit(0.0), lambda t, v: t + v * v)
+    far = F.transform(
+        "g",
+        lambda c: F.struct(
+            c[LABEL].alias("other"), c["n"].alias("n"),
+            F.greatest(
+                F.lit(0.0),
+                square + c["q"] / c["n"] - 2 * F.aggregate(F.zip_with("x", c["s"], lambda v, t: v * t), F.lit(0.0), plus) / c["n"],
+            ).alias("d"),
+        ),
+    )
+    held = held.select(LABEL, far.alias("far"))
+    mine = F.filter("far", lambda c: c["other"] == F.col(LABEL))[0]
+    held = held.select(
+        F.when(mine["n"] > 1, mine["d"] * mine["n"] / F.nullif(mine["n"] - 1, F.lit(0))).alias("a"),
+        F.array_min(F.transform(F.filter("far", lambda c: c["other"] != F.col(LABEL)), lambda c: c["d"])).alias("b"),
     )
-    widest = F.greatest("a", "b")
-    value = F.when(
-        F.col("a").isNotNull() & F.col("b").isNotNull() & (widest > 0), (F.col("b") - F.col("a")) / widest
-    ).otherwise(F.lit(0.0))
-    return per_row.agg(F.avg(value).alias("silhouette"), F.count(F.lit(1)).alias("silhouette_rows"))
+    return held.agg(F.avg(_width("a", "b")).alias("silhouette"), F.count(F.lit(1)).alias("silhouette_rows"))
 
 
 def composite_score(min_cluster_ratio: float) -> Column:
@@ -218,11 +275,11 @@ def cluster_quality(
     key_cols: Sequence[str],
     dim: int,
     min_cluster_ratio: float = 0.05,
-    exact_rows: int = 2000,
+    measure: str = "euclidean",
     features: str = "features",
 ) -> DataFrame:
     """One row of quality measures for a labelled frame."""
-    sil = silhouette(df, key_cols, exact_rows, features).select(F.struct("*")).scalar()
+    sil = silhouette(df, key_cols, measure, features).select(F.struct("*")).scalar()
     db = davies_bouldin(df, dim, features).scalar()
     return (
         balance(cluster_sizes(df))
@@ -301,7 +358,7 @@ def evaluate_ks(
         model = fit_kmeans(df, columns, k, config.n_init, config.max_iter, config.seed)
         labelled = assign(df, model).select(*key_cols, LABEL, "features").persist()
         row = cluster_quality(
-            labelled, key_cols, len(columns), config.min_cluster_ratio, config.silhouette_exact_rows
+            labelled, key_cols, len(columns), config.min_cluster_ratio, config.silhouette_measure
         ).withColumn("k", F.lit(k))
         sizes = cluster_sizes(labelled).agg(
             F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(LABEL), F.col("cluster_size")))))

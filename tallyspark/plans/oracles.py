@@ -467,16 +467,17 @@ SELECT cluster_label, 'genel_davranis_profili' AS profile_label,
  {rnd("CASE WHEN k = 1 THEN 0.5 ELSE 0.15 + 0.85 * (r - lo) / nullif(hi - lo, 0) END")} AS cluster_risk FROM ends"""
     q["anomaly_norm"] = f"WITH {SCORES} SELECT {KEY}, {rnd(_NORM)} AS anomaly_risk_norm FROM scored"
     q["budget_risk"] = f"""WITH {CUSTOMERS}, {monthly("least(15, last_day)")},
-b AS (SELECT entity, "YearMonth", {_NAIVE} AS p, total_expense_so_far AS spent, rolling_3m_expense_mean AS pace,
+b AS (SELECT entity, "YearMonth", has_snapshot, {_NAIVE} AS p, total_expense_so_far AS spent, rolling_3m_expense_mean AS pace,
  greatest(coalesce(c_acctbal * 10, 0), 0) AS budget
- FROM months LEFT JOIN customer ON entity = c_custkey WHERE is_latest AND has_snapshot),
+ FROM months LEFT JOIN customer ON entity = c_custkey WHERE is_latest),
 u AS (SELECT *, CASE WHEN budget >= 1 THEN p / budget ELSE 0 END AS used FROM b),
 s AS (SELECT *, 1 / (1 + exp(-(used - 1) * 6)) AS chance FROM u)
-SELECT entity, "YearMonth", round(budget, 2) AS budget, {rnd("used", 4)} AS budget_usage_ratio,
- round(CASE WHEN budget >= 1 THEN budget - spent ELSE 0 END, 2) AS budget_remaining,
- {rnd("CASE WHEN budget >= 1 THEN greatest(0, p - budget) ELSE 0 END", 4)} AS expected_overrun_amount,
- {rnd("CASE WHEN budget >= 1 THEN chance ELSE 0 END")} AS budget_overrun_probability,
- {rnd("CASE WHEN budget >= 1 THEN chance WHEN pace > 0 THEN least(1, greatest(0, p / pace)) ELSE 0.5 END")} AS forecast_risk
+SELECT entity, "YearMonth", CASE WHEN has_snapshot THEN 'ok' ELSE 'no snapshot in the latest month' END AS status,
+ CASE WHEN has_snapshot THEN round(budget, 2) END AS budget, CASE WHEN has_snapshot THEN {rnd("used", 4)} END AS budget_usage_ratio,
+ CASE WHEN has_snapshot THEN round(CASE WHEN budget >= 1 THEN budget - spent ELSE 0 END, 2) END AS budget_remaining,
+ CASE WHEN has_snapshot THEN {rnd("CASE WHEN budget >= 1 THEN greatest(0, p - budget) ELSE 0 END", 4)} END AS expected_overrun_amount,
+ CASE WHEN has_snapshot THEN {rnd("CASE WHEN budget >= 1 THEN chance ELSE 0 END")} END AS budget_overrun_probability,
+ CASE WHEN has_snapshot THEN {rnd("CASE WHEN budget >= 1 THEN chance WHEN pace > 0 THEN least(1, greatest(0, p / pace)) ELSE 0.5 END")} END AS forecast_risk
 FROM s"""
     q["latest_week"] = f"""WITH {EVENT_WEEKS} SELECT {KEY}, {pick(("total_expense", "rolling_4w_expense_mean"))}
  FROM weekly QUALIFY row_number() OVER (PARTITION BY entity ORDER BY "YearWeek" DESC) = 1"""

@@ -390,7 +390,9 @@ def q_budget_risk(spark: SparkSession, d: str) -> DataFrame:
         "budget", "budget_usage_ratio", "budget_remaining", "expected_overrun_amount",
         "budget_overrun_probability", "forecast_risk",
     ]
-    rows = _money(spark, d).filter("has_snapshot").select("entity", "YearMonth", *cols)
+    status = F.when(F.col("has_snapshot"), "ok").otherwise("no snapshot in the latest month").alias("status")
+    kept = [F.when(F.col("has_snapshot"), F.col(c)).alias(c) for c in cols]
+    rows = _money(spark, d).select("entity", "YearMonth", *kept, status)
     return rounded(rows, {"budget": 2, "budget_remaining": 2, "budget_usage_ratio": 4, "expected_overrun_amount": 4})
 
 

@@ -73,8 +73,9 @@ def blobs(spark):
     return pts, spark.createDataFrame(rows, "YearWeek string, features array<double>").persist()
 
 
-def brute_silhouette(x, labels):
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+def brute_silhouette(x, labels, squared=False):
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    d = d if squared else np.sqrt(d)
     out = []
     for i, g in enumerate(labels):
         own = (labels == g).sum()
@@ -108,8 +109,10 @@ def test_kmeans_and_quality(blobs):
     assert q["silhouette"] == pytest.approx(brute_silhouette(x, labels))
     assert q["davies_bouldin"] == pytest.approx(brute_davies_bouldin(x, labels))
     assert (q["balance_score"], q["min_cluster_fraction"], q["silhouette_rows"]) == (1.0, pytest.approx(1 / 3), 150)
-    partial = K.silhouette(labelled, ["YearWeek"], exact_rows=60).first()
-    assert partial["silhouette_rows"] == 60 and abs(partial["silhouette"] - q["silhouette"]) < 0.05
+    blocks = K.silhouette(labelled, ["YearWeek"], block_rows=40).first()  # the same, whatever the blocks
+    assert blocks["silhouette_rows"] == 150 and blocks["silhouette"] == pytest.approx(q["silhouette"])
+    squared = K.silhouette(labelled, ["YearWeek"], "squared").first()
+    assert squared["silhouette"] == pytest.approx(brute_silhouette(x, labels, squared=True))
 
 
 def test_single_member_cluster_counts_zero(spark):
@@ -118,6 +121,7 @@ def test_single_member_cluster_counts_zero(spark):
     )
     x, g = np.array([[0.0], [1.0], [9.0]]), np.array([0, 0, 1])
     assert K.silhouette(df, ["YearWeek"]).first()[0] == pytest.approx(brute_silhouette(x, g))
+    assert K.silhouette(df, ["YearWeek"], "squared").first()[0] == pytest.approx(brute_silhouette(x, g, squared=True))
 
 
 def test_small_share_is_penalised(spark):
