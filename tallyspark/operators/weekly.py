@@ -70,13 +70,14 @@ def list_categories(ledger: DataFrame, limit: int = 5000) -> list[str]:
 
 
 def weekly_cells(ledger: DataFrame, entity_cols: Sequence[str] = ()) -> DataFrame:
-    """Partial aggregates per (entity, week, category)."""
+    """Partial aggregates per (entity, week, category).
+
+    Names that differ only in spelling (``a b``, ``a_b``) fall into one cell; ``names`` counts them.
+    """
     rows = split_flows(require_columns(ledger, [*entity_cols, *INPUT_COLUMNS]), "all")
     spent, weekend = F.col("Expense") > 0, is_weekend(F.col("Date"))
     spend = F.when(spent, F.col("Expense"))
-    return rows.groupBy(
-        *entity_cols, week_start(F.col("Date")).alias(WEEK), slug(F.col("Category")).alias("category")
-    ).agg(
+    cells = rows.groupBy(*entity_cols, week_start(F.col("Date")).alias(WEEK), F.col("Category").alias("name")).agg(
         F.count("Amount").alias("n"),
         F.sum("Expense").alias("expense"),
         F.sum("Income").alias("income"),
@@ -91,6 +92,25 @@ def weekly_cells(ledger: DataFrame, entity_cols: Sequence[str] = ()) -> DataFram
         # seven bits, one per weekday: distinct days without a distinct aggregate
         F.bit_or(F.call_function("shiftleft", F.lit(1), F.weekday("Date"))).alias("days"),
     )
+    n, one = F.sum("n_expense"), F.count(F.lit(1)) == 1
+    mean = F.sum(F.col("mean_expense") * F.col("n_expense")) / F.nullif(n, F.lit(0))
+    around = F.sum(F.col("m2_expense") + F.col("n_expense") * F.col("mean_expense") * F.col("mean_expense")) - n * mean * mean
+    # dealt by week already, as the windows over these cells need it
+    return cells.repartition(*entity_cols, WEEK).groupBy(*entity_cols, WEEK, slug(F.col("name")).alias("category")).agg(
+        F.sum("n").alias("n"),
+        F.sum("expense").alias("expense"),
+        F.sum("income").alias("income"),
+        n.alias("n_expense"),
+        F.sum("n_income").alias("n_income"),
+        F.when(one, F.first("mean_expense")).otherwise(mean).alias("mean_expense"),
+        F.when(one, F.first("m2_expense")).otherwise(F.greatest(around, F.lit(0.0))).alias("m2_expense"),
+        F.max("max_expense").alias("max_expense"),
+        F.min("min_expense").alias("min_expense"),
+        F.sum("weekend").alias("weekend"),
+        F.sum("weekday").alias("weekday"),
+        F.bit_or("days").alias("days"),
+        F.count("name").alias("names"),
+    )
 
 
 def _ranked_cells(cells: DataFrame, entity_cols: Sequence[str]) -> DataFrame:
@@ -139,7 +159,7 @@ def _weeks(cells: DataFrame, entity_cols: Sequence[str], categories: Sequence[st
         n_expense.alias("expense_transaction_count"),
         F.sum("n_income").alias("income_transaction_count"),
         F.bit_count(F.bit_or("days")).cast("long").alias("active_days"),
-        F.count("category").alias("unique_categories"),
+        F.sum("names").alias("unique_categories"),
         F.sum("weekend").alias("weekend_expense"),
         F.sum("weekday").alias("weekday_expense"),
         F.max("ratio").alias("dominant_category_ratio"),

@@ -44,7 +44,7 @@ def test_base(weeks):
     assert (w["max_expense"], w["min_expense"]) == (50.0, 20.0)
     assert w["std_expense"] == pytest.approx(statistics.stdev([30, 50, 20]))
     assert (w["expense_transaction_count"], w["income_transaction_count"]) == (3, 1)
-    assert (w["active_days"], w["unique_categories"]) == (2, 3)
+    assert (w["active_days"], w["unique_categories"]) == (2, 4)  # "rent x" and "rent_x" are two names in one column
     assert (w["weekend_expense"], w["weekday_expense"]) == (20.0, 80.0)
     assert weeks["2020-W53"]["std_expense"] == 0.0
     assert weeks["2020-W53"]["weekend_expense"] == 10.0
