@@ -83,6 +83,26 @@ def cv_folds(train_months: int, n_splits: int = 3) -> list[tuple[int, int, int]]
     return [(i + 1, s, s + size) for i, s in enumerate(starts)]
 
 
+def fold_roles(train: DataFrame, n_splits: int = 3) -> DataFrame:
+    """``train`` (with ``position``) once for each fold it takes part in: ``fold``, ``role`` (fit or score).
+
+    The bounds of ``cv_folds`` as columns, so that no job runs while the plan is built.
+    """
+    n = train.agg(F.max("position") + 1).scalar()
+    held = train.withColumn("_n", n)
+    months = F.col("_n")
+    k = F.when(months < n_splits + 2, F.greatest(F.lit(2), F.least(F.lit(3), months - 1))).otherwise(n_splits)
+    held = held.withColumn("_k", k).withColumn("_size", F.floor(months / (F.col("_k") + 1)).cast("int"))
+
+    def fold(i: Column) -> Column:
+        start = months - (F.col("_k") - i + 1) * F.col("_size")
+        role = F.when(F.col("position") < start, "fit").when(F.col("position") < start + F.col("_size"), "score")
+        return F.struct(i.alias("fold"), role.alias("role"))
+
+    folds = F.inline(F.transform(F.sequence(F.lit(1), F.col("_k")), fold))
+    return held.select(*train.columns, folds).filter("role IS NOT NULL")
+
+
 def _text_columns(df: DataFrame, features: Sequence[str]) -> list[str]:
     return [f for f in features if isinstance(df.schema[f].dataType, T.StringType)]
 
@@ -230,36 +250,29 @@ def forecast(df: DataFrame, model: ForecastModel) -> DataFrame:
     return _predict(_vectors(df, model.preprocess), fitted)
 
 
-def regression_metrics(df: DataFrame, y: str = TARGET, prediction: str = PREDICTION) -> DataFrame:
-    """One row: rmse, mae, r2. A constant target scores 1 when exact, else 0."""
+def _metrics(y: str, prediction: str) -> list[Column]:
     err = F.col(prediction) - F.col(y)
     sse, sst = F.sum(err * err), F.var_pop(y) * F.count(y)
-    return df.agg(
-        F.sqrt(F.avg(err * err)).alias("rmse"),
-        F.avg(F.abs(err)).alias("mae"),
-        F.when(sst > 0, 1 - sse / F.nullif(sst, F.lit(0.0)))
-        .when(sse == 0, F.lit(1.0))
-        .otherwise(F.lit(0.0))
-        .alias("r2"),
-    )
+    r2 = F.when(sst > 0, 1 - sse / F.nullif(sst, F.lit(0.0))).when(sse == 0, F.lit(1.0)).otherwise(F.lit(0.0))
+    return [F.sqrt(F.avg(err * err)).alias("rmse"), F.avg(F.abs(err)).alias("mae"), r2.alias("r2")]
+
+
+def regression_metrics(df: DataFrame, y: str = TARGET, prediction: str = PREDICTION) -> DataFrame:
+    """One row: rmse, mae, r2. A constant target scores 1 when exact, else 0."""
+    return df.agg(*_metrics(y, prediction))
 
 
 def baseline_metrics(split: DataFrame) -> DataFrame:
-    """The mean of everything before as forecast, for validation and test."""
+    """The mean of everything before as forecast, for validation and test, in one grouped pass."""
     y = F.col(TARGET)
     means = split.agg(
         F.avg(F.when(F.col("split") == "train", y)).alias("valid"),
         F.avg(F.when(F.col("split") != "test", y)).alias("test"),
     )
-    filled = split.withColumn("_m", means.select(F.struct("*")).scalar())
-
-    def part(name: str) -> DataFrame:
-        rows = filled.filter(F.col("split") == name).withColumn(PREDICTION, F.col("_m")[name])
-        return regression_metrics(rows).select(
-            F.lit("baseline_mean").alias("model"), F.lit(name).alias("split"), "rmse", "mae", "r2"
-        )
-
-    return part("valid").unionByName(part("test"))
+    filled = split.filter(F.col("split") != "train").withColumn("_m", means.select(F.struct("*")).scalar())
+    before = F.when(F.col("split") == "valid", F.col("_m.valid")).otherwise(F.col("_m.test"))
+    scored = filled.withColumn(PREDICTION, before).groupBy("split").agg(*_metrics(TARGET, PREDICTION))
+    return scored.select(F.lit("baseline_mean").alias("model"), "split", "rmse", "mae", "r2")
 
 
 def _scores(predicted: DataFrame) -> tuple[float, float, float]:

@@ -326,17 +326,7 @@ def q_time_split(spark: SparkSession, d: str) -> DataFrame:
 
 def q_cv_folds(spark: SparkSession, d: str) -> DataFrame:
     train = _split(spark, d).filter("split = 'train'")
-    months = train.agg(F.max("position")).first()[0] + 1
-    folds = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("fold"),
-                F.when(F.col("position") < s, "fit").when(F.col("position") < e, "score").alias("role"),
-            )
-            for i, s, e in FC.cv_folds(months, 3)
-        ]
-    )
-    return train.select("entity", "YearMonth", F.inline(folds)).filter("role IS NOT NULL")
+    return FC.fold_roles(train).select("entity", "YearMonth", "fold", "role")
 
 
 def q_baseline_metrics(spark: SparkSession, d: str) -> DataFrame:

@@ -304,3 +304,11 @@ def test_risk_report(spark, models):
     assert alone["explanation"] == same["explanation"]
     assert alone["components"]["profile"]["cluster_risk_map"] == same["components"]["profile"]["cluster_risk_map"]
     assert len(alone["components"]["anomaly"]["top_feature_contributions"]) == 5
+
+
+@pytest.mark.parametrize("months", [3, 4, 5, 8, 17])
+def test_fold_roles_follow_the_bounds(spark, months):
+    train = spark.createDataFrame([(m, "e") for m in range(months)], "position int, entity string")
+    got = {(r["fold"], r["position"], r["role"]) for r in FC.fold_roles(train).collect()}
+    want = {(i, m, "fit" if m < s else "score") for i, s, e in FC.cv_folds(months) for m in range(min(e, months))}
+    assert got == want
