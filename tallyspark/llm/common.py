@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.session import durable, shared_dir
 
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
