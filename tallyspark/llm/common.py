@@ -46,6 +46,16 @@ def written(df: DataFrame) -> DataFrame:
     return durable(df)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bound the rows of an Arrow batch, where the session leaves Spark's default of 10,000.
+
+    A row here is a whole text, so the default would hold tens of MB twice, in the JVM and in each worker.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) == 10_000:
+        spark.conf.set(name, rows)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}/{uuid.uuid4().hex}"
 

@@ -39,9 +39,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 SPACE = "▁"
 #: Edges kept in a worker's store of lattices before it starts anew.
-STORE_EDGES = 2_000_000
+STORE_EDGES = 1_000_000
 #: Characters of texts in work at once.
-SLICE_CHARS = 400_000
+SLICE_CHARS = 250_000
 
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+")
 
@@ -185,10 +185,10 @@ class Store:
             self.flat_ids = np.zeros(0, np.int32)
 
     def _put(self, name: str, at: int, values: np.ndarray) -> None:
-        """Write behind what is there; arrays grow by half, so that few copies are made."""
+        """Write behind what is there; arrays grow by a quarter, so that few copies are made."""
         own = getattr(self, name)
         if at + len(values) > len(own):
-            grown = np.zeros(max(at + len(values), len(own) * 3 // 2), own.dtype)
+            grown = np.zeros(max(at + len(values), len(own) * 5 // 4), own.dtype)
             grown[:at] = own[:at]
             setattr(self, name, grown)
             own = grown

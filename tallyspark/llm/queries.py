@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import compression, decontam, divergence, html_text, licenses, pieces, pii, simhash, substrings, toxicity
-from tallyspark.llm.common import in_sample, table
+from tallyspark.llm.common import in_sample, small_batches, table
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +76,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    found = {
         "op1_decontaminate": op1_decontaminate,
         "op2_simhash": op2_simhash,
         "op3_sample_pieces": op3_sample_pieces,
@@ -89,6 +89,15 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_substrings": op10_substrings,
     }
 
+    def batched(query):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            small_batches(spark)
+            return query(spark, sf_dir)
+
+        return run
+
+    return {name: batched(query) for name, query in found.items()}
+
 
 def llm_oracles() -> dict[str, str]:
     return {}
