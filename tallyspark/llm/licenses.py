@@ -1,7 +1,7 @@
 """License scans by ordered signature rules.
 
 Each rule is a regular expression for one way to name, link or quote one license. An automaton
-of keywords runs over every text first; only rules whose keyword occurs are tried. Detections
+of keywords runs over every text first; only rules with a keyword that occurs are tried. Detections
 that overlap are resolved by priority, then by interval containment: the more telling rule
 wins, and a detection inside a longer one of the same rank goes.
 """
@@ -29,7 +29,8 @@ BASE = {
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
-# License families as (label, SPDX identifiers, a pattern of the name, keyword of the name, a link or "").
+# License families as (label, SPDX identifiers, a pattern of the name, keywords of the name, a link or "").
+# Every text that a pattern matches holds one of its keywords; several are parted by a bar.
 FAMILIES = (
     ("apache-1.1", "Apache-1.1", r"apache (?:software )?licen[sc]e,? (?:version |v\.? ?)?1\.1", "apache", ""),
     ("apache-2.0", "Apache-2.0", r"apache (?:software )?licen[sc]e,?(?: \(?(?:version |v\.? ?)?2(?:\.0)?\)?)?", "apache", r"apache\.org/licenses/license-2\.0"),
@@ -41,12 +42,12 @@ FAMILIES = (
     ("bsd", "0BSD", r"bsd(?:-style)? licen[sc]e", "bsd", ""),
     ("isc", "ISC", r"isc licen[sc]e", "isc", r"opensource\.org/licenses?/isc"),
     ("gpl-1.0", "GPL-1.0|GPL-1.0-only|GPL-1.0-or-later", r"gnu (?:general public licen[sc]e|gpl),? ?(?:version |v\.? ?)?1(?:\.0)?\b", "gnu", ""),
-    ("gpl-2.0", "GPL-2.0|GPL-2.0-only|GPL-2.0-or-later", r"(?:gnu )?(?:general public licen[sc]e|gpl),? ?(?:version |v\.? ?)2(?:\.0)?\b", "g", r"gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0"),
-    ("gpl-3.0", "GPL-3.0|GPL-3.0-only|GPL-3.0-or-later", r"(?:gnu )?(?:general public licen[sc]e|gpl),? ?(?:version |v\.? ?)3(?:\.0)?\b", "g", r"gnu\.org/licenses/gpl-3\.0"),
-    ("lgpl-2.1", "LGPL-2.1|LGPL-2.1-only|LGPL-2.1-or-later", r"(?:gnu )?(?:lesser general public licen[sc]e|lgpl),? ?(?:version |v\.? ?)2\.1", "l", r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.1"),
-    ("lgpl-3.0", "LGPL-3.0|LGPL-3.0-only|LGPL-3.0-or-later", r"(?:gnu )?(?:lesser general public licen[sc]e|lgpl),? ?(?:version |v\.? ?)3(?:\.0)?\b", "l", r"gnu\.org/licenses/lgpl-3\.0"),
+    ("gpl-2.0", "GPL-2.0|GPL-2.0-only|GPL-2.0-or-later", r"(?:gnu )?(?:general public licen[sc]e|gpl),? ?(?:version |v\.? ?)2(?:\.0)?\b", "gpl|general public licen", r"gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0"),
+    ("gpl-3.0", "GPL-3.0|GPL-3.0-only|GPL-3.0-or-later", r"(?:gnu )?(?:general public licen[sc]e|gpl),? ?(?:version |v\.? ?)3(?:\.0)?\b", "gpl|general public licen", r"gnu\.org/licenses/gpl-3\.0"),
+    ("lgpl-2.1", "LGPL-2.1|LGPL-2.1-only|LGPL-2.1-or-later", r"(?:gnu )?(?:lesser general public licen[sc]e|lgpl),? ?(?:version |v\.? ?)2\.1", "gpl|general public licen", r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.1"),
+    ("lgpl-3.0", "LGPL-3.0|LGPL-3.0-only|LGPL-3.0-or-later", r"(?:gnu )?(?:lesser general public licen[sc]e|lgpl),? ?(?:version |v\.? ?)3(?:\.0)?\b", "gpl|general public licen", r"gnu\.org/licenses/lgpl-3\.0"),
     ("lgpl", "LGPL-2.0-only", r"(?:gnu )?(?:lesser|library) general public licen[sc]e", "public licen", r"gnu\.org/licenses/lgpl"),
-    ("agpl-3.0", "AGPL-3.0|AGPL-3.0-only|AGPL-3.0-or-later", r"(?:gnu )?(?:affero general public licen[sc]e|agpl)(?:,? ?(?:version |v\.? ?)3(?:\.0)?)?", "a", r"gnu\.org/licenses/agpl"),
+    ("agpl-3.0", "AGPL-3.0|AGPL-3.0-only|AGPL-3.0-or-later", r"(?:gnu )?(?:affero general public licen[sc]e|agpl)(?:,? ?(?:version |v\.? ?)3(?:\.0)?)?", "gpl|general public licen", r"gnu\.org/licenses/agpl"),
     ("gfdl", "GFDL-1.2-only|GFDL-1.3-only", r"gnu free documentation licen[sc]e", "documentation", r"gnu\.org/licenses/fdl"),
     ("mpl-1.1", "MPL-1.1", r"mozilla public licen[sc]e,? ?(?:version |v\.? ?)1\.1", "mozilla", r"mozilla\.org/mpl/1\.1"),
     ("mpl-2.0", "MPL-2.0", r"mozilla public licen[sc]e(?:,? ?(?:version |v\.? ?)2\.0)?", "mozilla", r"mozilla\.org/mpl/2\.0"),
@@ -115,7 +116,7 @@ _GRANT = r"(?:licen[sc]ed|released|distributed|available|published|provided|made
 @dataclass(frozen=True)
 class Rule:
     label: str
-    keyword: str
+    keywords: str
     pattern: str
     priority: int
 
@@ -124,7 +125,6 @@ def rules() -> list[Rule]:
     """All rules, in order; several hundred, made from the families."""
     out = []
     for label, spdx, name, keyword, link in FAMILIES:
-        keyword = keyword if len(keyword) > 2 else "licen"
         for identifier in filter(None, spdx.split("|")):
             exact = rf"spdx-license-identifier: ?{re.escape(identifier.lower())}(?![\w.-])"
             out.append(Rule(label, "spdx-license-identifier", exact, PRIORITY["spdx"]))
@@ -153,7 +153,8 @@ class Scanner:
         self.compiled: dict[int, re.Pattern] = {}
         by_keyword: dict[str, list[int]] = {}
         for i, rule in enumerate(self.rules):
-            by_keyword.setdefault(rule.keyword, []).append(i)
+            for keyword in rule.keywords.split("|"):
+                by_keyword.setdefault(keyword, []).append(i)
         self.gate = ahocorasick.Automaton()
         for keyword, numbers in by_keyword.items():
             self.gate.add_word(keyword, (keyword, numbers))
@@ -169,7 +170,7 @@ class Scanner:
         """(start, end, label, priority) of the detections left after suppression, by start."""
         found = self.keywords(low) if found is None else found
         raw = []
-        for i in sorted(i for numbers in found.values() for i in numbers):
+        for i in sorted({i for numbers in found.values() for i in numbers}):
             rule = self.rules[i]
             pattern = self.compiled.get(i) or self.compiled.setdefault(i, re.compile(rule.pattern))
             raw += [(m.start(), m.end(), rule.label, rule.priority, i) for m in pattern.finditer(low)]
