@@ -485,25 +485,28 @@ def q_payload_violations(spark: SparkSession, d: str) -> DataFrame:
 
 # fits -----------------------------------------------------------------------------------
 
-FIT_PROFILER = ProfilerConfig(n_init=2)
-FIT_ANOMALY = AnomalyConfig(n_init=2)
-FIT_FORECAST = ForecastConfig(forest_trees=20)
+FIT_PROFILER = ProfilerConfig()
+FIT_ANOMALY = AnomalyConfig()
+FIT_FORECAST = ForecastConfig()
+
+
+def category_weeks(clean: DataFrame, variant: str = "profile") -> DataFrame:
+    """Weeks with the category columns: the whole input of the fits."""
+    return W.weekly_features(clean, E, variant, W.list_categories(clean))
 
 
 def q_kmeans_profiler(spark: SparkSession, d: str) -> DataFrame:
-    model, _, _ = fit_profiler(weeks(spark, d), E, FIT_PROFILER)
+    model, _, _ = fit_profiler(category_weeks(orders(spark, d)), E, FIT_PROFILER)
     return model.summary
 
 
 def q_profiler_evaluation(spark: SparkSession, d: str) -> DataFrame:
-    model, _, _ = fit_profiler(weeks(spark, d), E, FIT_PROFILER)
+    model, _, _ = fit_profiler(category_weeks(orders(spark, d)), E, FIT_PROFILER)
     return model.evaluation.drop("cluster_counts")
 
 
 def q_kmeans_anomaly(spark: SparkSession, d: str) -> DataFrame:
-    clean = orders(spark, d)
-    wide = W.weekly_features(clean, E, "anomaly", W.list_categories(clean))
-    model, scored, _ = A.fit_anomaly(wide, KEY, FIT_ANOMALY)
+    model, scored, _ = A.fit_anomaly(category_weeks(orders(spark, d), "anomaly"), KEY, FIT_ANOMALY)
     return scored.select(*KEY, A.SCORE, K.LABEL, "is_anomaly", "is_severe_anomaly")
 
 
@@ -516,11 +519,12 @@ def q_forecast_candidates(spark: SparkSession, d: str) -> DataFrame:
 def q_risk_report(spark: SparkSession, d: str) -> DataFrame:
     """Models fitted on segments, customers scored against a budget of their own."""
     clean = orders(spark, d)
-    frame = durable(W.weekly_features(clean, E))
+    categories = W.list_categories(clean)
+    frame = durable(W.weekly_features(clean, E, "profile", categories))
     profiler, _, _ = fit_profiler(frame, E, FIT_PROFILER)
-    detector, _, _ = A.fit_anomaly(frame.select(*KEY, *W.weekly_columns("anomaly")), KEY, FIT_ANOMALY)
+    detector, _, _ = A.fit_anomaly(frame.select(*KEY, *W.weekly_columns("anomaly", categories)), KEY, FIT_ANOMALY)
     data = durable(M.forecast_dataset(clean, 15, 5, E))
-    forecaster, _, _ = FC.fit_forecaster(data, E, FIT_FORECAST, ["ridge", "elasticnet"], False)
+    forecaster, _, _ = FC.fit_forecaster(data, E, FIT_FORECAST)
     models = R.RiskModels(profiler, detector, forecaster)
     budgets = table(spark, d, "customer").select(
         F.col("c_custkey").alias("entity"), (F.col("c_acctbal") * 10).alias("budget")
