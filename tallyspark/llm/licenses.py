@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right, insort
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import ahocorasick
 import pandas as pd
@@ -41,7 +41,7 @@ FAMILIES = (
     ("bsd-4-clause", "BSD-4-Clause", r"(?:original bsd|bsd[ -]4[ -]clause|4[ -]clause bsd) licen[sc]e", "bsd", ""),
     ("bsd", "0BSD", r"bsd(?:-style)? licen[sc]e", "bsd", ""),
     ("isc", "ISC", r"isc licen[sc]e", "isc", r"opensource\.org/licenses?/isc"),
-    ("gpl-1.0", "GPL-1.0|GPL-1.0-only|GPL-1.0-or-later", r"gnu (?:general public licen[sc]e|gpl),? ?(?:version |v\.? ?)?1(?:\.0)?\b", "gnu", ""),
+    ("gpl-1.0", "GPL-1.0|GPL-1.0-only|GPL-1.0-or-later", r"gnu (?:general public licen[sc]e|gpl),?(?: ?(?:version |v\.? ?)|[ ]?)1(?:\.0)?\b", "gnu", ""),
     ("gpl-2.0", "GPL-2.0|GPL-2.0-only|GPL-2.0-or-later", r"(?:gnu )?(?:general public licen[sc]e|gpl),? ?(?:version |v\.? ?)2(?:\.0)?\b", "gpl|general public licen", r"gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0"),
     ("gpl-3.0", "GPL-3.0|GPL-3.0-only|GPL-3.0-or-later", r"(?:gnu )?(?:general public licen[sc]e|gpl),? ?(?:version |v\.? ?)3(?:\.0)?\b", "gpl|general public licen", r"gnu\.org/licenses/gpl-3\.0"),
     ("lgpl-2.1", "LGPL-2.1|LGPL-2.1-only|LGPL-2.1-or-later", r"(?:gnu )?(?:lesser general public licen[sc]e|lgpl),? ?(?:version |v\.? ?)2\.1", "gpl|general public licen", r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.1"),
@@ -113,6 +113,19 @@ PRIORITY = {"spdx": 6, "link": 5, "grant": 4, "name": 3}
 _GRANT = r"(?:licen[sc]ed|released|distributed|available|published|provided|made available|covered) (?:by|under|with)(?: the terms of)?(?: the| an?)? "
 
 
+# A blank of a rule stands for blanks within a line, or for one line break with indents and comment marks. Never
+# for an empty line, so numbers of a list below a name are not taken for its version.
+_MARKS = r"[^\S\n]{0,40}(?:[*#;%]{1,4}|//+|--)?[^\S\n]{0,40}"
+GAP = rf"(?:[^\S\n]{{1,40}}(?:\n{_MARKS})?|\n{_MARKS})"
+_GAP = re.compile(GAP)
+
+
+def wrapped(pattern: str) -> str:
+    """``pattern`` with a gap for each blank; a blank alone in brackets stays a blank."""
+    parts = pattern.replace("[ -]", "(?: |-)").replace("[- ]", "(?: |-)").split("[ ]")
+    return "[ ]".join(part.replace(" ", GAP) for part in parts)
+
+
 @dataclass(frozen=True)
 class Rule:
     label: str
@@ -142,7 +155,7 @@ def rules() -> list[Rule]:
             out.append(Rule(label, "creative commons", rf"creative commons {words}(?: licen[sc]e)?,? (?:version )?{v}", PRIORITY["name"]))
         out.append(Rule(f"cc-{element}", "cc", rf"\bcc[ -]{element}(?![ -](?:sa|nd|nc)\b)", PRIORITY["name"] - 1))
     out += [Rule(label, keyword, pattern, priority) for label, keyword, pattern, priority in NOTICES]
-    return out
+    return [replace(rule, pattern=wrapped(rule.pattern)) for rule in out]
 
 
 class Scanner:
@@ -164,7 +177,8 @@ class Scanner:
         self.gate.make_automaton()
 
     def keywords(self, low: str) -> dict[str, list[int]]:
-        return {keyword: numbers for _, (keyword, numbers) in self.gate.iter(low)}
+        """The keywords of a text, with their rules; gaps count as one blank, as in the patterns."""
+        return {keyword: numbers for _, (keyword, numbers) in self.gate.iter(_GAP.sub(" ", low))}
 
     def detections(self, low: str, found: dict[str, list[int]] | None = None) -> list[tuple[int, int, str, int]]:
         """(start, end, label, priority) of the detections left after suppression, by start."""

@@ -1,4 +1,4 @@
-"""License rules: keywords that every match holds."""
+"""License rules: keywords that every match holds, and notices wrapped over lines."""
 
 from __future__ import annotations
 
@@ -51,3 +51,31 @@ def test_every_match_holds_a_keyword():
 )
 def test_short_names(text, label):
     assert licenses.scan(licenses.Scanner(), text)[5] == label
+
+
+@pytest.mark.parametrize("turn", ["\n", "\n * ", "\r\n#   ", "  ", "\n// ", " \n\t"])
+@pytest.mark.parametrize(
+    "text,label",
+    [
+        ("Redistribution and use in source and binary forms, with or without modification", "bsd"),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee", "isc"),
+        ("Licensed under the Apache License, Version 2.0", "apache-2.0"),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy", "mit"),
+        ("Mozilla Public License Version 1.1", "mpl-1.1"),
+        ("Licensed under CC BY-NC 4.0", "cc-by-nc-4.0"),
+    ],
+)
+def test_wrapped_notices(text, label, turn):
+    """Each blank turned in its place, and all at once: one detection of the whole notice, offsets of the text."""
+    scanner = licenses.Scanner()
+    words = text.split(" ")
+    for at in range(1, len(words)):
+        low = (" ".join(words[:at]) + turn + " ".join(words[at:])).lower()
+        assert [d[:3] for d in scanner.detections("x " + low)] == [(2, 2 + len(low), label)], low
+    low = turn.join(words).lower()
+    assert [d[:3] for d in scanner.detections("x " + low)] == [(2, 2 + len(low), label)]
+
+
+def test_no_version_from_a_list():
+    assert licenses.scan(licenses.Scanner(), "the GNU GPL\n1. You may")[5] == ""
+    assert licenses.scan(licenses.Scanner(), "the GNU GPL 1.0")[5] == "gpl-1.0"
