@@ -10,8 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import compression, decontam, divergence, html_text, licenses, pieces, pii, simhash, substrings, toxicity
+import public_tokenizers
+from tallyspark.llm import (
+    audit, compression, decontam, divergence, fim, html_text, licenses, pieces, pii, simhash, substrings, tokens, toxicity,
+)
 from tallyspark.llm.common import in_sample, small_batches, table
+from tallyspark.llm.oracles import ORACLES
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +79,24 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(audit.mask_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op12_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = tokens.Tokenizer.load(public_tokenizers.path("byte_bpe_50k.json"))
+    return tokens.token_counts(table(spark, sf_dir, "documents"), vocabulary)
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fim.transform(table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {
         "op1_decontaminate": op1_decontaminate,
@@ -87,6 +109,9 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_compression": op8_compression,
         "op9_toxicity": op9_toxicity,
         "op10_substrings": op10_substrings,
+        "op11_audit": op11_audit,
+        "op12_tokens": op12_tokens,
+        "op13_fim": op13_fim,
     }
 
     def batched(query):
@@ -100,4 +125,4 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def llm_oracles() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
