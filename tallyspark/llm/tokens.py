@@ -32,7 +32,7 @@ from tallyspark.llm.common import slices, strings
 
 LIMIT = 512
 CHUNK = 512
-KEPT_WORDS, KEPT_STATES, KEPT_WORD_BYTES = 250_000, 150_000, 48
+KEPT_WORDS, KEPT_STATES, KEPT_WORD_BYTES = 400_000, 250_000, 48
 
 # Classes of characters, as the split pattern tells them apart.
 OTHER, LETTER, NUMBER, SPACE, BLANK, QUOTE, ONE, TWO, E, L, END = range(11)
@@ -207,13 +207,16 @@ class WordTransducer:
                     self.child.append({})
             self.token[node] = token
         self.agreed: dict[tuple, bool] = {}
+        self.splits: dict[bytes, tuple[bytes, bytes, int] | None] = {}
+        self.edges: tuple[dict, dict] = {}, {}
         self.forget()
 
     def forget(self) -> None:
         self.agreed.clear()
         self.numbers: dict[tuple, int] = {}
         self.states: list[tuple] = []
-        self.moves: list[dict[int, tuple[int, int]]] = []
+        #: By state and byte: the next state, and the change in the number of tokens plus 128.
+        self.moves: dict[int, int] = {}
         self.number(((0, None, 0),))
 
     def number(self, state: tuple) -> int:
@@ -221,7 +224,6 @@ class WordTransducer:
         if found is None:
             found = self.numbers[state] = len(self.states)
             self.states.append(state)
-            self.moves.append({})
         return found
 
     def merged(self, data: bytes) -> list[bytes]:
@@ -236,46 +238,93 @@ class WordTransducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def split(self, token: bytes) -> tuple[bytes, bytes, int] | None:
+        """The two parts of a token's last merge and its rank; None for single bytes and improper tokens."""
+        if token not in self.splits:
+            parts, halves = [token[i : i + 1] for i in range(len(token))], None
+            while len(parts) > 1:
+                ranks = [self.rank.get(pair, len(self.rank)) for pair in zip(parts, parts[1:], strict=False)]
+                best = min(ranks)
+                if best == len(self.rank):
+                    halves = None
+                    break
+                at = ranks.index(best)
+                halves = parts[at], parts[at + 1], best
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            self.splits[token] = halves
+        return self.splits[token]
+
     def agrees(self, last: bytes | None, token: bytes) -> bool:
+        """Whether the merges give just these two tokens for their bytes.
+
+        The two are built as if alone unless a merge across the border comes first. A part made
+        by a merge is only merged by later ones, so the border moves outward through the parts
+        of both tokens in the order of ranks; at equal ranks the merge further left goes first.
+        """
+        if last is None:
+            return len(token) == 1 or self.split(token) is not None
         key = (last, token)
         known = self.agreed.get(key)
         if known is None:
-            if key in self.rank:
-                known = False
-            elif last is None:
-                known = self.merged(token) == [token]
-            else:
-                known = self.agrees(None, token) and self.merged(last + token) == [last, token]
-            self.agreed[key] = known
+            known = self.agreed[key] = self.agrees(None, token) and self._border_holds(last, token)
         return known
 
-    def compile(self, state: int, byte: int) -> tuple[int, int]:
-        going = []
-        for node, last, since in self.states[state]:
-            node = self.child[node].get(byte)
-            if node is not None:
-                going.append((node, last, since))
+    def _border_holds(self, last: bytes, token: bytes) -> bool:
+        rank, never = self.rank, len(self.rank)
+        left, right = self.edge(last, 1), self.edge(token, 0)
+        i = j = 0
+        while True:
+            (a, leaves), (b, joins) = left[i], right[j]
+            across = rank.get((a, b), never)
+            if across < leaves and across <= joins:
+                return False
+            if leaves == joins == never:
+                return True
+            if leaves <= joins:
+                i += 1
+            else:
+                j += 1
+
+    def edge(self, token: bytes, side: int) -> list[tuple[bytes, int]]:
+        """The parts at a token's left (0) or right (1) edge from a byte to the whole, each with the
+        rank of the merge that takes it up."""
+        found = self.edges[side].get(token)
+        if found is None:
+            halves = self.split(token)
+            if halves is None:
+                found = [(token, len(self.rank))]
+            else:
+                found = [*self.edge(halves[side], side)[:-1], (halves[side], halves[2]), (token, len(self.rank))]
+            self.edges[side][token] = found
+        return found
+
+    def compile(self, state: int, byte: int) -> int:
+        child, token, agreed = self.child, self.token, self.agreed
+        going = [(n, last, since) for node, last, since in self.states[state] if (n := child[node].get(byte))]
         for node, last, since in going:
-            token = self.token[node]
-            if token is not None and self.agrees(last, token):
-                break
+            ends = token[node]
+            if ends is not None:
+                holds = agreed.get((last, ends))
+                if self.agrees(last, ends) if holds is None else holds:
+                    break
         else:
             raise ValueError(f"the vocabulary has no token for byte {byte}")
         change = 1 - since
-        following = tuple((n, u, d + change) for n, u, d in going if self.child[n]) + ((0, token, 0),)
-        move = self.moves[state][byte] = (self.number(following), change)
+        following = [(n, last, d + change) for n, last, d in going if child[n]]
+        following.append((0, ends, 0))
+        move = self.moves[state << 8 | byte] = self.number(tuple(following)) << 8 | change + 128
         return move
 
     def count(self, word: bytes) -> int:
         if len(self.states) > KEPT_STATES:
             self.forget()
-        state = total = 0
+        moves, state, total = self.moves, 0, -128 * len(word)
         for byte in word:
-            move = self.moves[state].get(byte)
+            move = moves.get(state << 8 | byte)
             if move is None:
                 move = self.compile(state, byte)
-            state = move[0]
-            total += move[1]
+            state = move >> 8
+            total += move & 255
         return total
 
 
