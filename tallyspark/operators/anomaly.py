@@ -109,7 +109,7 @@ def fit_anomaly(
     prep = fit_prep(weeks, numeric_columns(weeks, key_cols), config.variance_threshold)
     prepared = apply_prep(weeks, prep)
     centroids = fit_kmeans(
-        prepared, prep.columns, config.n_clusters, config.n_init, config.max_iter, config.seed
+        prepared, prep.columns, config.n_clusters, config.n_init, config.max_iter, config.seed, key_cols=key_cols
     )
     scored = anomaly_score(prepared, centroids)
     cut = fit_thresholds(scored, config.anomaly_percentile, config.severe_percentile).first()

@@ -1,4 +1,4 @@
-"""k-means with restarts, cluster quality, summaries and profile labels.
+"""Cluster assignment, quality, summaries and profile labels; the fit itself is in ``kmeans``.
 
 Rows here are entity-weeks with a ``features`` array. Only tables with one row per
 cluster or per candidate k reach the driver.
@@ -7,19 +7,19 @@ cluster or per candidate k reach the driver.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.config import ProfilerConfig
 from tallyspark.functions.quantiles import exact_medians
+from tallyspark.operators.kmeans import Centroids, fit_kmeans, fit_restarts, matrix, square_distances
 from tallyspark.operators.prep import number
 
+__all__ = ["Centroids", "fit_kmeans", "fit_restarts"]
+
 LABEL = "cluster_label"
 
 # The columns a cluster summary reports.
@@ -32,46 +32,6 @@ SUMMARY_COLUMNS = (
 )
 
 
-@dataclass(frozen=True)
-class Centroids:
-    """Cluster centres in scaled space; the position of a centre is its cluster id."""
-
-    columns: tuple[str, ...]
-    centers: tuple[tuple[float, ...], ...]
-    cost: float = 0.0
-
-    @property
-    def k(self) -> int:
-        return len(self.centers)
-
-
-def fit_kmeans(
-    df: DataFrame,
-    columns: Sequence[str],
-    k: int,
-    n_init: int = 20,
-    max_iter: int = 500,
-    seed: int = 42,
-    features: str = "features",
-) -> Centroids:
-    """Best of ``n_init`` seeded runs by training cost.
-
-    Ids are renumbered by centre so they do not depend on the winning seed. ``df`` should
-    be a written frame (see ``session.durable``): every run reads it again.
-    """
-    vectors = df.select(array_to_vector(F.col(features)).alias("features")).persist()
-    try:
-        best = None
-        for run in range(n_init):
-            model = KMeans(k=k, maxIter=max_iter, seed=seed + run, tol=1e-3).fit(vectors)
-            if best is None or model.summary.trainingCost < best.summary.trainingCost:
-                best = model
-        centers = sorted(tuple(float(x) for x in c) for c in best.clusterCenters())
-        return Centroids(tuple(columns), tuple(centers), float(best.summary.trainingCost))
-    finally:
-        vectors.unpersist()
-
-
 def distance(a: Column, b: Column) -> Column:
     """Euclidean distance of two arrays."""
     squares = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
@@ -144,51 +104,44 @@ def davies_bouldin(df: DataFrame, dim: int, features: str = "features") -> DataF
     return packed.select((total / F.size("g")).alias("davies_bouldin"))
 
 
-def _silhouette_value(per_row: DataFrame, own: str) -> DataFrame:
-    """From (s, other, d, n, own), a row's distances summed by cluster, to the sum of the rows' values."""
-    same = F.col("other") == F.col(own)
-    per_row = per_row.groupBy("s").agg(
-        F.max(F.when(same & (F.col("n") > 1), F.col("d") / F.nullif(F.col("n") - 1, F.lit(0)))).alias("a"),
-        F.min(F.when(~same, F.col("d") / F.col("n"))).alias("b"),
-    )
-    return per_row.agg(F.sum(_width("a", "b")).alias("total"), F.count(F.lit(1)).alias("silhouette_rows"))
-
-
 def _width(a: str, b: str) -> Column:
     a, b = F.col(a), F.col(b)
     return F.when(a.isNotNull() & b.isNotNull() & (F.greatest(a, b) > 0), (b - a) / F.greatest(a, b)).otherwise(0.0)
 
 
-def _block_sums(df: DataFrame, chosen: list, features: str) -> DataFrame:
-    """Sums over all rows of the distances to each row of one block, by cluster of the rows."""
-    points = np.array([r[features] for r in chosen], dtype=float)
-    shared = df.sparkSession.sparkContext.broadcast(points)
-
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mine = shared.value
-        square = (mine * mine).sum(1)[:, None]
-        total: dict[int, np.ndarray] = {}
-        seen: dict[int, int] = {}
-        for pdf in batches:
-            for label, part in pdf.groupby(LABEL):
-                x = np.array(part[features].tolist(), dtype=float)
-                for start in range(0, len(x), 1000):
-                    block = x[start : start + 1000]
-                    sq = square + (block * block).sum(1) - 2 * (mine @ block.T)
-                    # where the difference of large squares is all rounding, take the plain form
-                    i, j = np.nonzero(sq < 1e-9 * (square + (block * block).sum(1)))
-                    for k in range(0, len(i), 10_000):
-                        near = i[k : k + 10_000], j[k : k + 10_000]
-                        sq[near] = ((mine[near[0]] - block[near[1]]) ** 2).sum(1)
-                    total[label] = total.get(label, 0.0) + np.sqrt(sq).sum(axis=1)
-                seen[label] = seen.get(label, 0) + len(x)
-        for label, t in total.items():
-            yield pd.DataFrame({"s": range(len(mine)), "other": label, "d": t, "n": seen[label]})
-
-    parts = df.select(LABEL, features).mapInPandas(sums, "s int, other int, d double, n long")
-    labels = df.sparkSession.createDataFrame([(i, int(r[LABEL])) for i, r in enumerate(chosen)], "s int, own int")
-    means = parts.groupBy("s", "other").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
-    return means.join(F.broadcast(labels), "s")  # the rows of a block
+def _pair_sums(labels: Sequence[int], features: str):
+    """For a function over one pair of blocks: each row's distances to the rows of the other block,
+    summed by the cluster of these."""
+    names = [f"s{c}" for c in range(len(labels))]
+
+    def sums(pair: pa.Table) -> pa.Table:
+        block = pair.combine_chunks().to_batches()[0]
+        x, rid = matrix(block, features), block.column("rid").to_numpy(zero_copy_only=False)
+        mine, side = block.column(LABEL).to_numpy(zero_copy_only=False), block.column("side").to_numpy(zero_copy_only=False)
+        x = x - x.mean(0)
+        member = (mine[:, None] == np.array(labels)).astype(float)
+        first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(second):  # a block and itself, or nothing in the other
+            meets = [(first, first)] if (block.column("i")[0] == block.column("j")[0]) else []
+        else:
+            meets = [(first, second), (second, first)]
+        rids, owns, totals = [rid[:0]], [mine[:0]], [np.zeros((0, len(labels)))]
+        for rows, others in meets:
+            for at in range(0, len(rows), 500):
+                some = rows[at : at + 500]
+                total = np.zeros((len(some), len(labels)))
+                for other in range(0, len(others), 2000):
+                    part = others[other : other + 2000]
+                    far = np.sqrt(np.maximum(square_distances(x[some], x[part]), 0.0))
+                    total += far @ member[part]
+                rids.append(rid[some])
+                owns.append(mine[some])
+                totals.append(total)
+        total = np.vstack(totals)
+        columns = [pa.array(np.concatenate(rids)), pa.array(np.concatenate(owns).astype(np.int32))]
+        return pa.table(columns + [pa.array(total[:, c]) for c in range(len(labels))], names=["rid", "own", *names])
+
+    return sums, "rid long, own int, " + ", ".join(f"{n} double" for n in names)
 
 
 def silhouette(
@@ -197,30 +150,46 @@ def silhouette(
 ) -> DataFrame:
     """One row: the mean silhouette of all rows, and their number.
 
-    ``euclidean`` compares all pairs: rows are taken in blocks by a hash of the key, each block
-    meets every row and only sums by row and cluster move. That is quadratic work, meant for
-    single ledgers. ``squared`` uses squared distances, whose sums follow from each cluster's
-    count, sum and sum of squares: one pass and linear work, for any number of rows. The
-    caller chooses; the number of rows never does.
+    ``euclidean`` compares all pairs on the executors. Rows fall into blocks by a hash of the key;
+    each row is copied to the pairs of blocks it takes part in, a task meets the two blocks of a
+    pair, and only sums by row and cluster move on. That is quadratic work, meant for single
+    ledgers. ``squared`` uses squared distances, whose sums follow from each cluster's count, sum
+    and sum of squares: one pass and linear work, for any number of rows. The caller chooses; the
+    number of rows never does. A row alone in its cluster counts 0. No row gives a null mean.
+    ``df`` should be a written frame.
     """
     if measure == "squared":
         return _squared_silhouette(df, features)
     if measure != "euclidean":
         raise ValueError(f"measure must be 'euclidean' or 'squared', not {measure!r}")
-    n_blocks = max(1, -(-df.count() // block_rows))
-    rows = df.select(F.pmod(F.xxhash64(*key_cols), F.lit(n_blocks)).alias("_block"), *key_cols, LABEL, features)
-    parts = []
-    for b in range(n_blocks):
-        chosen = rows.where(F.col("_block") == b).orderBy(*key_cols).collect()
-        if chosen:
-            parts.append(_silhouette_value(_block_sums(df, chosen, features), "own"))
-    if not parts:
+    sizes = {r[LABEL]: r["cluster_size"] for r in cluster_sizes(df).collect()}  # k rows
+    labels = sorted(sizes)
+    if not labels:
         return df.agg(F.lit(None).cast("double").alias("silhouette"), F.lit(0).cast("long").alias("silhouette_rows"))
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    n = F.sum("silhouette_rows")
-    return every.agg((F.sum("total") / n).alias("silhouette"), n.alias("silhouette_rows"))
+    n_blocks = max(1, -(-sum(sizes.values()) // block_rows))
+    block = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in key_cols], features), F.lit(n_blocks)).cast("int")
+    rows = df.select(block.alias("_block"), *key_cols, LABEL, features)
+    # a row's number: its block and its place in it
+    place = F.row_number().over(Window.partitionBy("_block").orderBy(*key_cols, features))
+    rows = rows.select("_block", (F.col("_block").cast("long") * 2**32 + place).alias("rid"), LABEL, features)
+    pair = F.struct(
+        F.least("_block", "other").alias("i"), F.greatest("_block", "other").alias("j"),
+        (F.col("_block") > F.col("other")).cast("int").alias("side"),
+    )
+    copies = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("other"))
+    copies = copies.select("rid", LABEL, features, pair.alias("p")).select("rid", LABEL, features, "p.*")
+    function, schema = _pair_sums(labels, features)
+    summed = copies.groupBy("i", "j").applyInArrow(function, schema)
+    per_row = summed.groupBy("rid", "own").agg(*[F.sum(f"s{c}").alias(f"s{c}") for c in range(len(labels))])
+
+    def mean(c: int, less: int) -> Column:
+        return F.col(f"s{c}") / float(sizes[labels[c]] - less) if sizes[labels[c]] > less else F.lit(None).cast("double")
+
+    same = [F.col("own") == label for label in labels]
+    a = F.coalesce(*[F.when(s, mean(c, 1)) for c, s in enumerate(same)])
+    b = F.array_min(F.array(*[F.when(~s, mean(c, 0)) for c, s in enumerate(same)]))
+    widths = per_row.select(a.alias("a"), b.alias("b"))
+    return widths.agg(F.avg(_width("a", "b")).alias("silhouette"), F.count(F.lit(1)).alias("silhouette_rows"))
 
 
 def _squared_silhouette(df: DataFrame, features: str) -> DataFrame:
@@ -353,9 +322,9 @@ def evaluate_ks(
     ks = [k for k in config.candidate_ks if k < n]
     if not ks:
         raise ValueError(f"no candidate k below the number of rows ({n})")
-    fitted, rows, schema = {}, [], None
-    for k in ks:
-        model = fit_kmeans(df, columns, k, config.n_init, config.max_iter, config.seed)
+    rows, schema = [], None
+    fitted = fit_restarts(df, columns, ks, config.n_init, config.max_iter, config.seed, key_cols)
+    for k, model in fitted.items():
         labelled = assign(df, model).select(*key_cols, LABEL, "features").persist()
         row = cluster_quality(
             labelled, key_cols, len(columns), config.min_cluster_ratio, config.silhouette_measure
@@ -364,7 +333,6 @@ def evaluate_ks(
             F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(LABEL), F.col("cluster_size")))))
         )
         row = row.withColumn("cluster_counts", sizes.scalar())
-        fitted[k] = model
         rows += row.collect()  # one row per candidate k
         schema = row.schema
         labelled.unpersist()

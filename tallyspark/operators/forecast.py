@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from tallyspark.config import ForecastConfig
 from tallyspark.functions.quantiles import exact_medians
+from tallyspark.operators.moments import Linear, Moments, Range
 from tallyspark.operators.monthly import MONTH, TARGET
 from tallyspark.operators.prep import Prep, deviation, feature_stats, number, unpivoted
 from tallyspark.session import durable
@@ -38,14 +39,14 @@ class ForecastModel:
     snapshot_day: int
     feature_columns: tuple[str, ...]
     preprocess: Preprocess
-    model: Model
+    model: Model | Linear
     target_shift: float = 0.0
     target_scale: float = 1.0
 
 
 @dataclass(frozen=True)
 class _Fitted:
-    model: Model
+    model: Model | Linear
     shift: float
     scale: float
 
@@ -244,8 +245,16 @@ def _predict(vectors: DataFrame, fitted: _Fitted) -> DataFrame:
     return out.withColumn(PREDICTION, F.col("_p") * fitted.scale + fitted.shift).drop("_x", "_p")
 
 
+def _predict_linear(df: DataFrame, pre: Preprocess, model: Linear) -> DataFrame:
+    weights = F.expr(f"array({', '.join(map(number, model.coefficients))})")
+    total = F.aggregate(F.zip_with("_a", weights, lambda x, w: x * w), F.lit(model.intercept), lambda t, v: t + v)
+    return apply_preprocess(df, pre, "_a").withColumn(PREDICTION, total).drop("_a")
+
+
 def forecast(df: DataFrame, model: ForecastModel) -> DataFrame:
     """Add the predicted month-end expense. Absent and null features are imputed."""
+    if isinstance(model.model, Linear):
+        return _predict_linear(df, model.preprocess, model.model)
     fitted = _Fitted(model.model, model.target_shift, model.target_scale)
     return _predict(_vectors(df, model.preprocess), fitted)
 
@@ -279,6 +288,82 @@ def _scores(predicted: DataFrame) -> tuple[float, float, float]:
     return tuple(regression_metrics(predicted).first())
 
 
+#: Candidates that follow from moments; the others are fitted by Spark, range by range.
+LINEAR = ("baseline_linear", "ridge", "elasticnet", "huber")
+
+
+class _Trials:
+    """Fits and held-out scores of candidates over ranges of months.
+
+    Linear candidates of all ranges come from moments. Frames with a text feature, and the
+    forest, go through Spark's own estimators range by range.
+    """
+
+    def __init__(self, rows: DataFrame, features: Sequence[str], ranges: Sequence[Range], config: ForecastConfig):
+        self.rows, self.features, self.config = rows, list(features), config
+        self.ranges = {r.name: r for r in ranges}
+        self.moments = None if _text_columns(rows, features) else Moments(rows, features, TARGET, ranges)
+        self.weights: dict[str, list] = {}
+        self.held: dict[tuple[str, str], tuple[_Fitted, Preprocess]] = {}
+
+    def _training(self, r: Range) -> _Training:
+        before = self.rows.filter(F.col("position") < r.fit_end)
+        if self.moments is None:
+            return _prepare(before, self.features)
+        pre = self.preprocess(r.name)
+        vectors = _vectors(before, pre).select("_x", F.col(TARGET).cast("double").alias(TARGET)).persist()
+        return _Training(vectors, pre, 0, 0.0, 1.0)
+
+    def preprocess(self, name: str) -> Preprocess:
+        found = self.moments.prepared(name)
+        return Preprocess(Prep(tuple(self.features), found.mean, found.scale), found.medians)
+
+    def scores(self, names: Sequence[str], ranges: Sequence[str]) -> dict[tuple[str, str], tuple[float, float, float]]:
+        """(rmse, mae, r2) by candidate and range."""
+        linear = [m for m in names if m in LINEAR and self.moments is not None]
+        for m in linear:
+            if m not in self.weights:
+                self.weights[m] = self.moments.fit(m, self.config)
+        out = {}
+        if linear:
+            found = self.moments.scores({m: self.weights[m] for m in linear})
+            out = {key: value for key, value in found.items() if key[1] in ranges}
+        others, builders = [m for m in names if m not in linear], candidates(self.config)
+        for r in [self.ranges[n] for n in ranges] if others else []:
+            training = self._training(r)
+            after = self.rows.filter((F.col("position") >= r.fit_end) & (F.col("position") < r.score_end))
+            held_out = _vectors(after, training.preprocess).select("_x", TARGET).persist()
+            for m in others:
+                fitted = training.fit(builders[m])
+                self.held[m, r.name] = fitted, training.preprocess
+                out[m, r.name] = _scores(_predict(held_out, fitted))
+            training.rows.unpersist()
+            held_out.unpersist()
+        return out
+
+    def model(self, name: str, range_: str) -> ForecastModel:
+        """The fit that ``scores`` made of one candidate and range."""
+        if name in self.weights:
+            i = list(self.ranges).index(range_)
+            fitted, pre = _Fitted(self.moments.linear(self.weights[name][i]), 0.0, 1.0), self.preprocess(range_)
+        else:
+            fitted, pre = self.held[name, range_]
+        day = self.config.snapshot_day
+        return ForecastModel(name, day, tuple(self.features), pre, fitted.model, fitted.shift, fitted.scale)
+
+
+def _cv_ranges(train_months: int, n_splits: int) -> list[Range]:
+    return [Range(f"fold {i}", start, end) for i, start, end in cv_folds(train_months, n_splits)]
+
+
+def _cv_table(spark, names: Sequence[str], folds: Sequence[Range], scores: dict) -> DataFrame:
+    rows = []
+    for m in names:
+        mine = [scores[m, r.name] for r in folds]
+        rows.append((m, *[sum(s[i] for s in mine) / len(mine) for i in range(3)]))
+    return spark.createDataFrame(rows, "model string, cv_rmse_mean double, cv_mae_mean double, cv_r2_mean double")
+
+
 def time_series_cv(
     train: DataFrame,
     features: Sequence[str],
@@ -286,21 +371,10 @@ def time_series_cv(
     names: Sequence[str] | None = None,
 ) -> DataFrame:
     """Mean fold scores per candidate. ``train`` carries ``position``."""
-    spark = train.sparkSession
-    n_months = train.select("position").distinct().count()
-    builders = candidates(config)
-    per_model: dict[str, list[tuple[float, float, float]]] = {m: [] for m in names or builders}
-    for _, start, end in cv_folds(n_months, config.n_splits):
-        before = train.filter(F.col("position") < start)
-        after = train.filter((F.col("position") >= start) & (F.col("position") < end))
-        training = _prepare(before, features)
-        held_out = _vectors(after, training.preprocess).select("_x", TARGET).persist()
-        for name in per_model:
-            per_model[name].append(_scores(_predict(held_out, training.fit(builders[name]))))
-        training.rows.unpersist()
-        held_out.unpersist()
-    rows = [(m, *[sum(s[i] for s in f) / len(f) for i in range(3)]) for m, f in per_model.items()]
-    return spark.createDataFrame(rows, "model string, cv_rmse_mean double, cv_mae_mean double, cv_r2_mean double")
+    chosen = list(names or candidates(config))
+    folds = _cv_ranges(train.select("position").distinct().count(), config.n_splits)
+    scores = _Trials(train, features, folds, config).scores(chosen, [r.name for r in folds])
+    return _cv_table(train.sparkSession, chosen, folds, scores)
 
 
 def fit_forecaster(
@@ -317,34 +391,23 @@ def fit_forecaster(
     """
     features = [c for c in dataset.columns if c not in {*key_cols, "YearMonth", MONTH, TARGET}]
     split = durable(time_split(dataset, config.train_ratio, config.valid_ratio))
-    parts = {s: split.filter(F.col("split") == s) for s in ("train", "valid", "test")}
-    sizes = {r[0]: r[1] for r in split.groupBy("split").count().collect()}
-    if any(not sizes.get(s) for s in parts):
-        raise ValueError(f"empty split: {sizes}")
-    builders = candidates(config)
-    chosen = list(names or builders)
-    cv = time_series_cv(parts["train"], features, config, chosen) if cross_validate else None
+    ends = {r[0]: r[1] + 1 for r in split.groupBy("split").agg(F.max("position")).collect()}
+    if set(ends) != {"train", "valid", "test"}:
+        raise ValueError(f"empty split: only {sorted(ends)} have rows")
+    chosen = list(names or candidates(config))
+    folds = _cv_ranges(ends["train"], config.n_splits) if cross_validate else []
+    selection, final = Range("valid", ends["train"], ends["valid"]), Range("test", ends["valid"], ends["test"])
+    trials = _Trials(split, features, [*folds, selection, final], config)
+    scores = trials.scores(chosen, [r.name for r in (*folds, selection)])
+    cv = _cv_table(split.sparkSession, chosen, folds, scores) if folds else None
     rows = [tuple(r) for r in baseline_metrics(split).collect()]
-    training = _prepare(parts["train"], features)
-    held_out = _vectors(parts["valid"], training.preprocess).select("_x", TARGET).persist()
+    rows += [(m, "valid", *scores[m, "valid"]) for m in chosen]
     best, best_rmse = None, float("inf")
-    for name in chosen:
-        scores = _scores(_predict(held_out, training.fit(builders[name])))
-        rows.append((name, "valid", *scores))
-        if scores[0] < best_rmse:
-            best, best_rmse = name, scores[0]
-    training.rows.unpersist()
-    held_out.unpersist()
+    for m in chosen:
+        if scores[m, "valid"][0] < best_rmse:
+            best, best_rmse = m, scores[m, "valid"][0]
     if best is None:
         raise ValueError("no candidate reached a finite validation error")
-    training = _prepare(split.filter(F.col("split") != "test"), features)
-    fitted = training.fit(builders[best])
-    training.rows.unpersist()
-    final = ForecastModel(
-        best, config.snapshot_day, tuple(features), training.preprocess, fitted.model, fitted.shift, fitted.scale
-    )
-    rows.append((best, "test", *_scores(forecast(parts["test"], final))))
-    metrics = dataset.sparkSession.createDataFrame(
-        rows, "model string, split string, rmse double, mae double, r2 double"
-    )
-    return final, metrics, cv
+    rows.append((best, "test", *trials.scores([best], ["test"])[best, "test"]))
+    metrics = split.sparkSession.createDataFrame(rows, "model string, split string, rmse double, mae double, r2 double")
+    return trials.model(best, "test"), metrics, cv

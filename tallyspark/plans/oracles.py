@@ -10,9 +10,10 @@ from tallyspark.operators.risk import MESSAGES
 from tallyspark.operators.weekly import (
     BASE_COLUMNS, CONCENTRATION_COLUMNS, RATIO_COLUMNS, ROLLING_COLUMNS, weekly_columns,
 )
+from tallyspark.plans import fit_oracles
 from tallyspark.plans.queries import (
     DESCRIPTIONS, FIXED_CENTROIDS, FIXED_PREP, FIXED_SEVERE, FIXED_THRESHOLD, FORECAST_WEIGHT_HISTORY,
-    FORECAST_WEIGHT_SO_FAR, LABELS, NUDGE, STAT_COLUMNS, digits,
+    FORECAST_WEIGHT_SO_FAR, GIVEN_LIMIT, GIVEN_MOVES, GIVEN_STARTS, LABELS, NATION_PREP, NUDGE, STAT_COLUMNS, digits,
 )
 
 INTEGER = {
@@ -176,10 +177,13 @@ def votes(z: float) -> str:
 # fixed model ----------------------------------------------------------------------------
 
 _DIM = len(FIXED_PREP.columns)
-_SCALED = ", ".join(
-    f"({c} - ({m!r})::DOUBLE) / ({s!r})::DOUBLE AS f{i}"
-    for i, (c, m, s) in enumerate(zip(FIXED_PREP.columns, FIXED_PREP.mean, FIXED_PREP.scale, strict=True))
-)
+
+
+def _scaled(prep) -> str:
+    return ", ".join(
+        f"({c} - ({m!r})::DOUBLE) / ({s!r})::DOUBLE AS f{i}"
+        for i, (c, m, s) in enumerate(zip(prep.columns, prep.mean, prep.scale, strict=True))
+    )
 
 
 def _dist(center) -> str:
@@ -187,12 +191,18 @@ def _dist(center) -> str:
 
 
 _C = FIXED_CENTROIDS.centers
-SCORED = f"""scaled AS (SELECT *, {_SCALED} FROM weekly),
+
+
+def _scored(prep) -> str:
+    return f"""scaled AS (SELECT *, {_scaled(prep)} FROM weekly),
 dists AS (SELECT *, {", ".join(f"{_dist(c)} AS d{i}" for i, c in enumerate(_C))} FROM scaled),
 scored AS (SELECT *, least(d0, d1, d2) AS anomaly_score,
   CAST(CASE WHEN d0 <= d1 AND d0 <= d2 THEN 0 WHEN d1 <= d2 THEN 1 ELSE 2 END AS INTEGER) AS cluster_label
  FROM dists)"""
-SCORES = f"{WEEKS}, {SCORED}"
+
+
+SCORES = f"{WEEKS}, {_scored(FIXED_PREP)}"
+NATIONS = f"{order_raw('c_nationkey')}, {CLEAN}, {WEEKLY}, {_scored(NATION_PREP)}"
 
 _CENTER_OF = {
     i: "CASE cluster_label " + " ".join(f"WHEN {k} THEN ({c[i]!r})::DOUBLE" for k, c in enumerate(_C)) + " END"
@@ -433,6 +443,19 @@ SELECT k, n_rows, {rnd("sil.v")} AS silhouette, sil.n AS silhouette_rows, {rnd("
  {rnd("b")} AS balance_score, {rnd("frac")} AS min_cluster_fraction,
  {rnd("0.40::DOUBLE * sil.v + 0.30::DOUBLE * b + 0.20::DOUBLE * frac - 0.10::DOUBLE * db.v - CASE WHEN frac < 0.05 THEN 0.25 ELSE 0 END")} AS composite_score
 FROM sil, db, bal"""
+    one_pair = """sum(sqrt({s})) AS e, sum({s}) AS s, count(*) AS n""".format(s=_SUM_SQ)
+    q["silhouette_nations"] = f"""WITH {NATIONS},
+pts AS MATERIALIZED (SELECT row_number() OVER () AS id, cluster_label AS g, {", ".join(f"f{i}" for i in range(_DIM))} FROM scored),
+gaps AS (SELECT a.id, a.g, b.g AS other, {one_pair} FROM pts a, pts b GROUP BY ALL),
+long_gaps AS (UNPIVOT gaps ON e, s INTO NAME measure VALUE d),
+ab AS (SELECT measure, id, max(d / nullif(n - 1, 0)) FILTER (g = other) AS a, min(d / n) FILTER (g <> other) AS b
+ FROM long_gaps GROUP BY measure, id)
+SELECT CASE measure WHEN 'e' THEN 'euclidean' ELSE 'squared' END AS measure,
+ {rnd("avg(coalesce((b - a) / nullif(greatest(a, b), 0), 0))")} AS silhouette, count(*) AS silhouette_rows FROM ab GROUP BY measure"""
+    q["kmeans_restarts"] = fit_oracles.given_starts_sql(SCORES, _DIM, GIVEN_STARTS, GIVEN_MOVES, GIVEN_LIMIT, rnd)
+    q["kmeans_anomaly"] = fit_oracles.anomaly_sql(WEEKS, rnd)
+    q["profiler_evaluation"] = fit_oracles.evaluation_sql(WEEKS, robust(True), votes(3.5), rnd)
+    q["kmeans_profiler"] = fit_oracles.profiler_sql(WEEKS, robust(True), votes(3.5), rnd, _LABEL_RULES)
     q["profile_labels"] = f"""WITH {EVENT_WEEKS},
 g AS (SELECT entity, count(*) AS cluster_size, {_AVGS} FROM weekly GROUP BY entity)
 SELECT entity, {_LABEL_RULES} AS profile_label FROM g"""

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from tallyspark.operators import anomaly as A
 from tallyspark.operators import clustering as K
 from tallyspark.operators import contracts as C
 from tallyspark.operators import forecast as FC
+from tallyspark.operators import kmeans as KM
 from tallyspark.operators import monthly as M
 from tallyspark.operators import outliers as O
 from tallyspark.operators import prep as P
@@ -55,6 +57,11 @@ FIXED_CENTROIDS = K.Centroids(
     ((-0.8, 0.6, 0.4, 0.2, -0.7), (0.1, -0.2, -0.5, -0.6, 0.3), (0.9, -0.1, 0.5, 0.7, 0.4)),
 )
 FIXED_THRESHOLD, FIXED_SEVERE = 2.5, 3.25
+#: Scaling for the weeks of nations, which are smaller than those of segments.
+NATION_PREP = P.Prep(FIXED_PREP.columns, (240000.0, 120000.0, 0.28, 53000.0, 2.1), (110000.0, 90000.0, 0.2, 8000.0, 0.5))
+GIVEN_MOVES, GIVEN_LIMIT = 300, 1e-18
+#: Three sets of starting centres for k-means: the fixed ones, drawn in, and mirrored.
+GIVEN_STARTS = [[[v * f for v in c] for c in FIXED_CENTROIDS.centers] for f in (1.0, 0.5, -1.0)]
 FORECAST_WEIGHT_SO_FAR, FORECAST_WEIGHT_HISTORY = 1.15, 0.45
 LABELS = {"0": "saver", "2": "spender"}
 DESCRIPTIONS = {"0": "spends little", "1": "spends as usual"}
@@ -282,6 +289,27 @@ def q_cluster_quality(spark: SparkSession, d: str) -> DataFrame:
     return rounded(K.cluster_quality(frame, KEY, len(FIXED_PREP.columns)))
 
 
+def q_silhouette_nations(spark: SparkSession, d: str) -> DataFrame:
+    """Both measures over a ledger of several thousand weeks: one entity a nation."""
+    ledger = clean_ledger(order_ledger(spark, d, "c_nationkey"), E)
+    frame = P.apply_prep(W.weekly_features(ledger, E), NATION_PREP)
+    frame = durable(K.assign(frame, FIXED_CENTROIDS).select(*KEY, K.LABEL, "features"))
+    both = [K.silhouette(frame, KEY, m).withColumn("measure", F.lit(m)) for m in ("euclidean", "squared")]
+    return rounded(both[0].unionByName(both[1]))
+
+
+def q_kmeans_restarts(spark: SparkSession, d: str) -> DataFrame:
+    """k-means from given starts, to the end of each run."""
+    frame = durable(P.apply_prep(weeks(spark, d), FIXED_PREP).select("features"))
+    runs = KM.lloyd(frame, [np.array(s) for s in GIVEN_STARTS], GIVEN_MOVES, GIVEN_LIMIT)
+    rows = [
+        (r, c, i + 1, float(v), run.iterations, run.cost)
+        for r, run in enumerate(runs) for c, center in enumerate(run.centers) for i, v in enumerate(center)
+    ]
+    found = spark.createDataFrame(rows, "run int, cluster int, feature long, value double, iterations int, cost double")
+    return rounded(found, {"cost": 4})
+
+
 def q_profile_labels(spark: SparkSession, d: str) -> DataFrame:
     """The rules over every user of the event ledger: many small groups stand in for clusters."""
     groups = (
@@ -496,18 +524,22 @@ def category_weeks(clean: DataFrame, variant: str = "profile") -> DataFrame:
 
 
 def q_kmeans_profiler(spark: SparkSession, d: str) -> DataFrame:
+    """The chosen clusters' summary, beside the scope of the training."""
     model, _, _ = fit_profiler(category_weeks(orders(spark, d)), E, FIT_PROFILER)
-    return model.summary
+    scope = [F.lit(v).alias(c) for c, v in model.scope.first().asDict().items()]
+    shown = rounded(model.summary, {c: 4 for c in model.summary.columns})
+    return shown.select("*", *scope)
 
 
 def q_profiler_evaluation(spark: SparkSession, d: str) -> DataFrame:
     model, _, _ = fit_profiler(category_weeks(orders(spark, d)), E, FIT_PROFILER)
-    return model.evaluation.drop("cluster_counts")
+    measured = model.evaluation.drop("cluster_counts").withColumn("chosen", F.col("k") == model.centroids.k)
+    return rounded(measured)
 
 
 def q_kmeans_anomaly(spark: SparkSession, d: str) -> DataFrame:
     model, scored, _ = A.fit_anomaly(category_weeks(orders(spark, d), "anomaly"), KEY, FIT_ANOMALY)
-    return scored.select(*KEY, A.SCORE, K.LABEL, "is_anomaly", "is_severe_anomaly")
+    return rounded(scored.select(*KEY, A.SCORE, K.LABEL, "is_anomaly", "is_severe_anomaly"))
 
 
 def q_forecast_candidates(spark: SparkSession, d: str) -> DataFrame:

@@ -116,20 +116,54 @@ def test_registry_row_drives_thresholds(spark, store):
     assert dict(tuple(r) for r in out.collect()) == {"anomaly": "anomaly", "risk": "severe_anomaly"}
 
 
+QUOTED = (
+    ' Amount ,Date,Description,Transaction Type,Category,Account Name\n'
+    '10,2024-01-05,"say ""hi"", twice",debit,NA,main\n'
+    '20,2024-01-06,"two\nlines",debit, NA ,#N/A\n'
+)
+
+
 def test_csv_is_read_by_header_with_missing_tokens(spark, tmp_path):
     path = tmp_path / "ledger.csv"
-    path.write_text(
-        ' Amount ,Date,Description,Transaction Type,Category,Account Name\n'
-        '10,2024-01-05,"say ""hi"", twice",debit,NA,main\n'
-        '20,2024-01-06,"two\nlines",debit, NA ,#N/A\n'
-    )
-    rows = read_ledger(spark, str(path)).orderBy("Date").collect()
+    path.write_text(QUOTED)
+    rows = read_ledger(spark, str(path), multi_line=True).orderBy("Date").collect()
     assert [r["Amount"] for r in rows] == ["10", "20"]
     assert [r["Description"] for r in rows] == ['say "hi", twice', "two\nlines"]
     assert [r["Category"] for r in rows] == [None, " NA "]
     assert rows[1]["Account Name"] is None
 
 
+def test_a_broken_csv_row_is_an_error_and_never_data(spark, tmp_path):
+    path = tmp_path / "ledger.csv"
+    path.write_text(QUOTED)
+    for columns in (["Amount"], ["Date", "Category"], ["*"]):
+        with pytest.raises(Exception, match="multi_line=True"):
+            read_ledger(spark, str(path)).select(*columns).collect()
+    long = tmp_path / "long.csv"
+    long.write_text("a,b\n1,2\n3,4,5\n")
+    with pytest.raises(Exception, match="3,4,5"):
+        read_ledger(spark, str(long)).collect()
+    fine = tmp_path / "fine.csv"
+    fine.write_text('a,b,c\n1,"x, ""y"", z",2\n3,5" pipe,NA\n4\n')
+    rows = [tuple(r) for r in read_ledger(spark, str(fine)).collect()]
+    assert rows == [("1", 'x, "y", z', "2"), ("3", '5" pipe', None), ("4", None, None)]
+    assert read_ledger(spark, str(fine)).select("c").count() == 3
+
+
+def test_weeks_are_written_in_order(spark, tmp_path):
+    from tallyspark.plans.queries import weeks
+    from tallyspark.sources.ledger import write_weeks
+
+    frame = weeks(spark, "/root/testdata/sf0.001")
+    write_weeks(frame, f"{tmp_path}/weeks", "csv", ["entity"])
+    names = sorted(p for p in (tmp_path / "weeks").iterdir() if p.suffix == ".csv")
+    keys = []
+    for part in names:
+        lines = part.read_text().splitlines()
+        keys += [tuple(line.split(",")[:2]) for line in lines[1:]]
+    assert keys == sorted(keys) and len(keys) == frame.count()
+
+
 @pytest.mark.parametrize("fmt", ["csv", "json", "parquet", "orc"])
 def test_ledger_round_trip(spark, ledger, tmp_path, fmt):
     from tallyspark.operators.cleaning import clean_ledger

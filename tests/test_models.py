@@ -14,7 +14,9 @@ from tallyspark.operators import forecast as FC
 from tallyspark.operators import prep as P
 from tallyspark.operators.monthly import MONTH, TARGET
 from tallyspark.operators.profiler import fit_profiler, predict_profile
-from tallyspark.sources.models import load_model, save_model, write_metrics
+from tallyspark.sources.models import (
+    load_artifact, load_model, save_model, versions, write_metrics,
+)
 
 
 def test_quantiles_are_exact(spark):
@@ -286,6 +288,52 @@ def test_models_survive_storage(spark, models, tmp_path):
     assert spark.read.json(f"{tmp_path}/metrics").count() == metrics.count()
 
 
+def test_artifacts_keep_the_whole_training(spark, models, tmp_path):
+    profiler, detector, forecaster, weeks, data, metrics = models
+    path = f"{tmp_path}/forecaster"
+    removed = weeks.select("entity", "YearWeek").limit(7)
+    config = ForecastConfig(forest_trees=5)
+    assert save_model(spark, forecaster, path, config, metrics=metrics, removed_weeks=removed) == 1
+    assert save_model(spark, forecaster, path) == 2 and versions(spark, path) == [1, 2]
+    first = load_artifact(spark, path, 1)
+    assert first.config == config and set(first.tables) == {"metrics", "removed_weeks"} and first.version == 1
+    assert sorted(first.tables["metrics"].collect()) == sorted(metrics.collect())
+    assert first.tables["removed_weeks"].count() == 7
+    newest = load_artifact(spark, path)
+    assert newest.version == 2 and newest.config is None and not newest.tables
+    other = f"{tmp_path}/profiler"
+    save_model(spark, profiler, other, ProfilerConfig(candidate_ks=(2, 5)))
+    assert load_artifact(spark, other).config.candidate_ks == (2, 5)
+    assert load_artifact(spark, other).model.scope.first() == profiler.scope.first()
+
+
+def test_a_version_that_was_not_finished_is_never_read(spark, models, tmp_path, monkeypatch):
+    from tallyspark.sources import models as storage
+
+    _, detector, *_ = models
+    path = f"{tmp_path}/detector"
+    write = storage._write
+
+    def stops(spark, rows, schema, where):
+        if where.endswith("/thresholds"):
+            raise RuntimeError("lost")
+        write(spark, rows, schema, where)
+
+    monkeypatch.setattr(storage, "_write", stops)
+    with pytest.raises(RuntimeError):
+        save_model(spark, detector, path)
+    with pytest.raises(FileNotFoundError):
+        load_model(spark, path)
+    monkeypatch.setattr(storage, "_write", write)
+    assert save_model(spark, detector, path) == 1 and load_model(spark, path) == detector
+    monkeypatch.setattr(storage, "_write", stops)
+    with pytest.raises(RuntimeError):
+        save_model(spark, detector, path)
+    assert versions(spark, path) == [1] and load_model(spark, path) == detector
+    with pytest.raises(FileNotFoundError, match="version 9"):
+        load_model(spark, path, 9)
+
+
 def test_risk_report(spark, models):
     from tallyspark.operators.risk import RiskModels, risk_report
     from tallyspark.plans.ledgers import order_ledger

@@ -30,9 +30,7 @@ def test_fit_returns_rows(spark, name):
 
 
 def test_only_fits_lack_sql():
-    assert FITS == [
-        "forecast_candidates", "kmeans_anomaly", "kmeans_profiler", "profiler_evaluation", "risk_report",
-    ]
+    assert FITS == ["forecast_candidates", "risk_report"]
 
 
 def test_entry_names_hold_the_queries():
