@@ -46,6 +46,14 @@ def written(df: DataFrame) -> DataFrame:
     return durable(df)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the rows of an Arrow batch, where the session leaves Spark's default of 10,000.
 
@@ -61,8 +69,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def in_sample(n_buckets: int, held_out: int, doc_id="doc_id"):
-    """Whether a row may be learnt from: the CRC of its id, as text, misses the held-out class."""
-    return (F.crc32(F.col(doc_id).cast("string")) % n_buckets) != held_out
+    """Whether a row may be learnt from: the CRC of its id, as text, misses the held-out class.
+
+    Rows without an id can have no label and are never learnt from, so they count as held out.
+    """
+    return F.coalesce((F.crc32(F.col(doc_id).cast("string")) % n_buckets) != held_out, F.lit(False))
 
 
 def labelled_sample(

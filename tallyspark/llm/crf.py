@@ -79,8 +79,13 @@ def fit_chain(
     return Chain(tuple(labels), {f: p[0][i] for f, i in names.items()}, p[1], p[2])
 
 
-def viterbi(emissions: np.ndarray, lengths: np.ndarray, trans: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Best label numbers (sequences, positions); positions past a length repeat its last label."""
+def viterbi(
+    emissions: np.ndarray, lengths: np.ndarray, trans: np.ndarray, first: np.ndarray, after: np.ndarray | float = 0.0
+) -> np.ndarray:
+    """Best label numbers (sequences, positions); positions past a length repeat its last label.
+
+    ``first`` and ``after`` are added to the labels of the first and the last position.
+    """
     n, t, k = emissions.shape
     score = first + emissions[:, 0]
     back = np.tile(np.arange(k, dtype=np.int16), (t, n, 1))
@@ -90,36 +95,58 @@ def viterbi(emissions: np.ndarray, lengths: np.ndarray, trans: np.ndarray, first
         back[j] = np.where(live, reach.argmax(1), back[j])
         score = np.where(live, reach.max(1) + emissions[:, j], score)
     best = np.empty((n, t), np.int64)
-    best[:, -1] = score.argmax(1)
+    best[:, -1] = (score + after).argmax(1)
     for j in range(t - 1, 0, -1):
         best[:, j - 1] = back[j][np.arange(n), best[:, j]]
     return best
 
 
-def decode(
-    chain: Chain, emissions: np.ndarray, counts: np.ndarray, block: int = 64, margin: int = 8, batch: int = 2048
-) -> np.ndarray:
-    """Label numbers of sequences of ``counts`` positions laid end to end.
+def certain(chain: Chain, emissions: np.ndarray, slack: float = 1e-3) -> np.ndarray:
+    """Positions at which every best path has the first label, whatever stands around them.
 
-    Long sequences are cut into blocks that see ``margin`` more positions on either side, so
-    that all blocks form one rectangle; only the block's own positions are kept. Sequences of
-    up to ``block`` positions are decoded exactly as a whole.
+    Putting the first label in place of another one changes a path by the emissions and by the
+    two transitions at the position; where the emissions outweigh the most that the transitions
+    can cost, the first label is on every best path.
+    """
+    trans, first = chain.trans, chain.first
+    before = np.maximum((trans - trans[:, :1]).max(0), first - first[0])
+    behind = np.maximum((trans - trans[:1]).max(1), 0.0)
+    most = (before + behind)[1:] + slack
+    return (emissions[:, :1] - emissions[:, 1:] > most).all(1)
+
+
+def decode(chain: Chain, emissions: np.ndarray, counts: np.ndarray, cells: int = 100_000) -> np.ndarray:
+    """Label numbers of sequences of ``counts`` positions laid end to end, the best path of each.
+
+    Certain positions cut a sequence into runs that are decoded alone, between two first labels
+    or an end of the sequence: the path is that of the whole sequence, however long. Runs of like
+    length share a rectangle of about ``cells`` positions.
     """
-    n = -(-counts // block)
-    owner = np.repeat(np.arange(len(counts)), n)
-    begin = np.cumsum(counts) - counts
-    step = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    own_a = begin[owner] + block * step
-    own_z = np.minimum(own_a + block, (begin + counts)[owner])
-    a = np.maximum(own_a - margin, begin[owner])
-    z = np.minimum(own_z + margin, (begin + counts)[owner])
     out = np.zeros(len(emissions), np.int64)
-    width = block + 2 * margin
-    for i in range(0, len(a), batch):
-        s = slice(i, i + batch)
-        at = np.minimum(a[s, None] + np.arange(width), len(emissions) - 1)
-        best = viterbi(emissions[at], z[s] - a[s], chain.trans, chain.first)
-        mine = (at >= own_a[s, None]) & (at < own_z[s, None]) & (np.arange(width) < (z[s] - a[s])[:, None])
-        out[at[mine]] = best[mine]
+    open_ = np.flatnonzero(~certain(chain, emissions))
+    if not len(open_):
+        return out
+    ends = np.cumsum(counts)
+    owner = np.searchsorted(ends, open_, side="right")
+    new = np.ones(len(open_), bool)
+    new[1:] = (np.diff(open_) > 1) | (np.diff(owner) > 0)
+    at = np.flatnonzero(new)
+    start, size = open_[at], np.diff(at, append=len(open_))
+    of = owner[at]
+    at_start, at_end = start == (ends - counts)[of], start + size == ends[of]
+    order = np.argsort(size, kind="stable")
+    done = 0
+    while done < len(order):
+        # sizes ascend: a rectangle is as wide as its last run
+        room = np.arange(1, len(order) - done + 1) * size[order[done:]] <= cells
+        n = max(1, int(room.sum()))
+        runs = order[done : done + n]
+        done += n
+        width = int(size[runs[-1]])
+        spots = np.minimum(start[runs, None] + np.arange(width), len(emissions) - 1)
+        first = np.where(at_start[runs, None], chain.first, chain.trans[0])
+        after = np.where(at_end[runs, None], 0.0, chain.trans[:, 0])
+        best = viterbi(emissions[spots], size[runs], chain.trans, first, after)
+        mine = np.arange(width) < size[runs, None]
+        out[spots[mine]] = best[mine]
     return out
-

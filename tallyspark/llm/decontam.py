@@ -19,7 +19,7 @@ import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from tallyspark.llm.common import strings
 
@@ -145,14 +145,16 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     match nothing; repeated rows of either side repeat in the result; null ids are carried along.
     """
     id_type = docs.schema[id_col].dataType
+    item_type = items.schema["item_id"].dataType
+    # ids travel as text: next to a null, pandas would turn large numbers into doubles
     schema = StructType(
-        [StructField("doc_id", id_type), StructField("item_id", items.schema["item_id"].dataType)]
+        [StructField("doc_id", StringType()), StructField("item_id", StringType())]
         + [StructField(c, IntegerType()) for c in ("distance", "edits")]
         + [StructField(c, LongType()) for c in ("start", "end")]
     )
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    narrow = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
     found = None
-    for block in blocks(items):
+    for block in blocks(items.withColumn("item_id", F.col("item_id").cast("string"))):
 
         def run(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
             matcher = Matcher(block)
@@ -161,11 +163,11 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
                     (key, *hit) for key, text in zip(batch["doc_id"], strings(batch["text"]), strict=True)
                     for hit in matcher.find(text)
                 ]
-                yield pd.DataFrame(rows, columns=schema.names)
+                yield pd.DataFrame(rows, columns=schema.names).astype({"doc_id": object, "item_id": object})
 
         part = narrow.mapInPandas(run, schema)
         found = part if found is None else found.unionByName(part)
-    return found
+    return found.withColumns({"doc_id": F.col("doc_id").cast(id_type), "item_id": F.col("item_id").cast(item_type)})
 
 
 def holds_item(block: list[tuple[int, str]]):

@@ -21,8 +21,13 @@ from pyspark.sql import functions as F
 from tallyspark.llm.common import slices, strings
 from tallyspark.llm.crf import Chain, decode, fit_chain
 
-# Elements whose content is no text, elements that end a block, elements without content.
-_RAW = "script|style|title|noscript|template|textarea|svg|iframe|select|math|object|canvas|audio|video"
+# Elements whose content is read up to their end tag as it stands; elements whose text is
+# left out; of these, and of formulas, those that a block element inside ends; elements that end a block;
+# elements without content.
+_RAW = frozenset("script style title textarea".split())
+_SILENT = frozenset("title textarea noscript template svg iframe select canvas audio video".split())
+_FOREIGN = frozenset("svg math".split())
+_BROKEN_OUT = frozenset("svg math select".split())
 _BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption "
     "figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section "
@@ -40,10 +45,11 @@ _ENDS = (
 _P_SCOPE = frozenset({"td", "th", "table", "button", "caption", "html", "body"})
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>",
-    re.S | re.I,
+    re.S,
 )
+_ENDS_RAW = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _RAW}
 _MARKS = re.compile(r"\b(class|id|role|hidden|aria-hidden|style|y)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _WORDS = re.compile(r"[a-z]+")
 
@@ -89,7 +95,9 @@ class _Walk:
         if tag in _BLOCK:
             self.flush()
             self.close_implied(tag)
-        if tag in _VOID:
+            if tag != "option":
+                self.break_out()
+        if tag in _VOID or tag in _FOREIGN and rest.endswith("/"):
             return
         marks, labelled = [], False
         for name, value in _MARKS.findall(rest) if rest.strip() else ():
@@ -102,6 +110,13 @@ class _Walk:
                 marks += _WORDS.findall(value)
         self.stack.append((tag, tuple(marks), labelled))
 
+    def break_out(self) -> None:
+        """A block element ends pictures, formulas and lists of options that were left open."""
+        for i, (tag, _, _) in enumerate(self.stack):
+            if tag in _BROKEN_OUT:
+                del self.stack[i:]
+                break
+
     def close_implied(self, tag: str) -> None:
         names = [t for t, _, _ in self.stack]
         for group, scope in (*_ENDS, (frozenset({"p"}), _P_SCOPE)):
@@ -124,6 +139,8 @@ class _Walk:
                 break  # a stray end of an inline element ends no block
 
     def text(self, raw: str) -> None:
+        if any(tag in _SILENT for tag, _, _ in self.stack):
+            return
         raw = html.unescape(raw)
         self.parts.append(raw)
         if any(tag == "a" for tag, _, _ in self.stack):
@@ -131,14 +148,30 @@ class _Walk:
 
 
 def leaf_blocks(page: str) -> list[Block]:
-    walk, done = _Walk(), 0
-    for m in _TOKEN.finditer(page):
+    """The leaf blocks of a page.
+
+    A script or a style without an end tag takes the rest of the page, as in browsers. All other
+    elements left open end with the element around them, so nothing after that is lost.
+    """
+    walk, done, unended = _Walk(), 0, set()
+    while m := _TOKEN.search(page, done):
         if m.start() > done:
             walk.text(page[done : m.start()])
         done = m.end()
-        if m[3]:
-            tag = m[3].lower()
-            walk.end(tag) if m[2] else walk.start(tag, m[4])
+        if not m[2]:
+            continue
+        tag = m[2].lower()
+        if m[1]:
+            walk.end(tag)
+            continue
+        end = _ENDS_RAW[tag].search(page, done) if tag in _RAW and tag not in unended else None
+        if end:
+            done = end.end()
+        elif tag in ("script", "style"):
+            done = len(page)
+        else:
+            unended |= _RAW & {tag}
+            walk.start(tag, m[3])
     if done < len(page):
         rest = page[done:]
         cut = rest.rfind("<")

@@ -207,7 +207,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     null ids are carried along; very long texts are cut nowhere.
     """
     spark = docs.sparkSession
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    # ids travel as text: next to a null, pandas would turn large numbers into doubles
+    narrow = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
     plan = Plan(narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0, window)
 
     # a table of the warehouse: only those know that they are dealt by group
@@ -234,7 +235,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         return sent(int(rows["dealt"].iloc[0]), _key_rows(plan, keys))
 
     result = StructType([
-        StructField("doc_id", docs.schema[id_col].dataType), StructField("n_words", LongType()),
+        StructField("doc_id", StringType()), StructField("n_words", LongType()),
         StructField("n_removed", LongType()), StructField("kept", StringType()),
     ])
 
@@ -271,5 +272,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     doubtful = table.groupBy("dealt").cogroup(maybe.groupBy("dealt")).applyInPandas(candidates, _SENT)
     sure = written(doubtful.groupBy(*by_range).applyInPandas(_merge, _ANSWER))
     bits = maybe.unionByName(sure)
-    return table.groupBy("dealt").cogroup(bits.groupBy("dealt")).applyInPandas(clean, result)
+    cleaned = table.groupBy("dealt").cogroup(bits.groupBy("dealt")).applyInPandas(clean, result)
+    return cleaned.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
 

@@ -12,8 +12,8 @@ import pytest
 from conftest_llm import EDGES
 from pyspark.sql import functions as F
 
-from tallyspark.llm import compression, crf, html_text, toxicity
-from tallyspark.llm.common import labelled_sample
+from tallyspark.llm import compression, crf, html_text, pii, toxicity
+from tallyspark.llm.common import labelled_sample, table
 
 BAD = ["idiotic", "wretched", "stupidly"]
 
@@ -161,18 +161,48 @@ def test_viterbi_and_fit_against_enumeration():
         assert [chain.labels[y] for y in crf.decode(chain, em, np.array([3]))] == ys
 
 
-def test_long_sequences_decode_in_blocks():
-    rng = np.random.default_rng(5)
-    counts = np.array([1, 64, 65, 300, 0, 7])
-    e = rng.standard_normal((int(counts.sum()), 3))
-    chain = crf.Chain(("a", "b", "c"), {}, 0.3 * rng.standard_normal((3, 3)), np.zeros(3))
-    got = crf.decode(chain, e, counts, margin=20)
-    at = 0
-    for n in counts:
+def whole(chain, emissions, counts):
+    """Viterbi over each whole sequence, one at a time."""
+    out, at = [], 0
+    for n in counts.tolist():
         if n:
-            whole = crf.viterbi(e[None, at : at + n], np.array([n]), chain.trans, chain.first)[0]
-            assert (got[at : at + n] == whole).all()
+            out += crf.viterbi(emissions[None, at : at + n], np.array([n]), chain.trans, chain.first)[0].tolist()
         at += n
+    return out
+
+
+@pytest.mark.parametrize("strength", [0.3, 2.0, 8.0])
+@pytest.mark.parametrize("cells", [1, 40, 100_000])
+def test_decoding_equals_the_path_over_whole_sequences(strength, cells):
+    """From sequences without a certain position to ones that certain positions cut everywhere."""
+    rng = np.random.default_rng(4)
+    for k in (2, 3, 11):
+        chain = crf.Chain(tuple(map(str, range(k))), {}, rng.normal(0, 1, (k, k)), rng.normal(0, 1, k))
+        counts = rng.integers(0, 200, 30)
+        counts[3], counts[7] = 1500, 0
+        e = rng.normal(0, strength, (counts.sum(), k))
+        e[:, 0] += strength
+        assert crf.decode(chain, e, counts, cells).tolist() == whole(chain, e, counts)
+    assert crf.decode(chain, np.zeros((0, k)), np.array([0, 0])).tolist() == []
+
+
+def test_texts_and_pages_decode_as_a_whole(spark, monkeypatch):
+    """The fitted chains on all documents and pages, against whole Viterbi."""
+    seen = []
+    plain = crf.decode
+
+    def both(chain, emissions, counts, **kw):
+        got = plain(chain, emissions, counts, **kw)
+        seen.append((got.tolist(), whole(chain, np.asarray(emissions, np.float64), counts)))
+        return got
+
+    monkeypatch.setattr(pii, "decode", both)
+    monkeypatch.setattr(html_text, "decode", both)
+    docs = [r.text or "" for r in table(spark, "/root/testdata/sf0.001", "documents").collect()]
+    pii._added(pii.learn(), {}, docs)
+    html_text.main_texts(html_text.learn(), [r.html or "" for r in table(spark, "/root/testdata/sf0.01", "pages").collect()])
+    for got, want in seen:
+        assert len(got) > 1000 and got == want
 
 
 @pytest.fixture(scope="module")
@@ -220,3 +250,23 @@ def test_pages_of_the_tables(spark, page_chain):
 def test_scores_are_columns(frame, net):
     df = frame([(1, "x"), (2, "y")]).withColumn("s", toxicity.scorer(net)("text"))
     assert df.where(F.col("s") < 2).count() == 2
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><p>First one here.</p><svg class=i /><p>Rest of the article.</p></article>", "First one here. Rest of the article."),
+        ("<article><p>First one here.</p><svg class=i><p>Rest of the article.</p></article>", "First one here. Rest of the article."),
+        ("<article><p>First one here.</p><svg><title>icon</title><path d=1></svg><p>Rest of it.</p></article>", "First one here. Rest of it."),
+        ("<article><h1>Title here</h1><title-bar>..</title-bar><p>Second one follows.</p></article>", "Title here .. Second one follows."),
+        ("<article><p>So <math><mi>x</mi> + 1</math> is more than one.</p></article>", "So x + 1 is more than one."),
+        ("<article><div><video src=a></div><p>Text after an open video.</p></article>", "Text after an open video."),
+        ("<article><p>Before.</p><div><title>lost</div><p>After an open title.</p></article>", "Before. After an open title."),
+        ("<article><p>Before it all.</p><script>if (a < b) { x = '<p>'; }</script><p>After it.</p></article>", "Before it all. After it."),
+        ("<article><p>Kept text here.</p><object data=x><p>What the object shows.</p></object></article>", "Kept text here. What the object shows."),
+        ("<article><p>Kept text here.</p><script>never ended <p>code</p></article>", "Kept text here."),
+        ("<article><p>One.</p><select><option>a<p>Two of them.</p></article>", "One. Two of them."),
+    ],
+)
+def test_elements_left_open_lose_nothing_behind_them(page, want):
+    assert html_text.main_texts(html_text.learn(), [page]) == [want]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+import compare
 import corpus_pipeline
 import pytest
 from conftest_llm import EDGES
@@ -25,11 +26,16 @@ COLUMNS = {
     "op8_compression": {"doc_id", "held_out", "score", "predicted"},
     "op9_toxicity": {"doc_id", "held_out", "score", "predicted"},
     "op10_substrings": {"doc_id", "n_words", "n_removed", "kept_sha256"},
+    "op11_audit": {
+        "part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley",
+    },
+    "op12_tokens": {"doc_id", "n_bytes", "n_tokens", "over_limit"},
+    "op13_fim": {"doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"},
 }
 
 
 def test_names():
-    assert set(llm_queries()) == set(COLUMNS) and not llm_oracles()
+    assert set(llm_queries()) == set(COLUMNS) > set(llm_oracles())
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "toxicity", "simhash near-dedup", "benchmark decontamination", "pii", "sentencepiece",
     ]
@@ -39,10 +45,17 @@ def test_names():
 def test_query(spark, name):
     rows = llm_queries()[name](spark, SF).collect()
     assert set(rows[0].asDict()) >= COLUMNS[name]
-    if name not in ("op1_decontaminate", "op3_sample_pieces"):
+    if name == "op11_audit":
+        assert len(rows) == 600 * table(spark, SF, "documents").select("lang").distinct().count()
+    elif name not in ("op1_decontaminate", "op3_sample_pieces"):
         assert len(rows) == table(spark, SF, "pages" if name == "op6_html" else "documents").count()
 
 
+@pytest.mark.parametrize("name", sorted(llm_oracles()))
+def test_query_equals_sql(spark, name):
+    assert compare.differences(llm_queries()[name](spark, SF), compare.connect(SF), llm_oracles()[name]) is None
+
+
 def test_held_out_accuracy(spark):
     """Documents whose labels were not learnt from, at the size where there are enough of them."""
     sf = "/root/testdata/sf0.01"
