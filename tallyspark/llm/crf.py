@@ -101,18 +101,33 @@ def viterbi(
     return best
 
 
-def certain(chain: Chain, emissions: np.ndarray, slack: float = 1e-3) -> np.ndarray:
-    """Positions at which every best path has the first label, whatever stands around them.
-
-    Putting the first label in place of another one changes a path by the emissions and by the
-    two transitions at the position; where the emissions outweigh the most that the transitions
-    can cost, the first label is on every best path.
+def certain(chain: Chain, emissions: np.ndarray, ends: np.ndarray, slack: float = 1e-3) -> np.ndarray:
+    """Positions at which every best path has the first label.
+
+    A path leaves the first label for runs of positions. Put the first label in place of a whole
+    run, and the score changes by the emissions and transitions of the run alone; if every run over
+    a position can only lose, no best path has one there. What a position can add to a run at most
+    is bounded by its emissions and its share of the transitions around it, so the best run over a
+    position is a difference of extremes of cumulated bounds. ``ends`` are the sequences' ends.
     """
-    trans, first = chain.trans, chain.first
-    before = np.maximum((trans - trans[:, :1]).max(0), first - first[0])
-    behind = np.maximum((trans - trans[:1]).max(1), 0.0)
-    most = (before + behind)[1:] + slack
-    return (emissions[:, :1] - emissions[:, 1:] > most).all(1)
+    n, k = emissions.shape
+    if not n or k < 2:
+        return np.ones(n, bool)
+    gain = chain.trans - chain.trans[0, 0]
+    start = chain.first[1:] - chain.first[0]
+    enter = np.maximum.reduce([gain[0, 1:], gain[1:, 1:].max(0) / 2, start])
+    leave = np.maximum.reduce([gain[1:, 0], gain[1:, 1:].max(1) / 2, np.zeros(k - 1)])
+    most = (emissions[:, 1:] + (enter + leave).astype(emissions.dtype)).max(1) - emissions[:, 0]
+    most = most.astype(np.float64) + slack
+    # no run goes over the end of a sequence
+    wall = np.abs(most).sum() + 1.0
+    stop = np.zeros(n + 1)
+    stop[ends[:-1]] = -wall
+    walls = np.cumsum(stop)[:n]
+    total = np.concatenate([[0.0], np.cumsum(most)])
+    before = np.minimum.accumulate(total[:-1] + walls)
+    behind = np.maximum.accumulate((total[1:] + walls)[::-1])[::-1]
+    return behind - before < 0
 
 
 def decode(chain: Chain, emissions: np.ndarray, counts: np.ndarray, cells: int = 100_000) -> np.ndarray:
@@ -123,10 +138,10 @@ def decode(chain: Chain, emissions: np.ndarray, counts: np.ndarray, cells: int =
     length share a rectangle of about ``cells`` positions.
     """
     out = np.zeros(len(emissions), np.int64)
-    open_ = np.flatnonzero(~certain(chain, emissions))
+    ends = np.cumsum(counts)
+    open_ = np.flatnonzero(~certain(chain, emissions, ends))
     if not len(open_):
         return out
-    ends = np.cumsum(counts)
     owner = np.searchsorted(ends, open_, side="right")
     new = np.ones(len(open_), bool)
     new[1:] = (np.diff(open_) > 1) | (np.diff(owner) > 0)
