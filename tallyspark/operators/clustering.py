@@ -12,10 +12,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from tallyspark.config import ProfilerConfig
 from tallyspark.functions.quantiles import exact_medians
-from tallyspark.operators.kmeans import Centroids, fit_kmeans, fit_restarts, matrix, square_distances
+from tallyspark.operators.kmeans import Centroids, Rows, add_up, fit_kmeans, fit_restarts, row_columns, square_distances
 from tallyspark.operators.prep import number
 
 __all__ = ["Centroids", "fit_kmeans", "fit_restarts"]
@@ -42,11 +43,14 @@ def center(values: Sequence[float]) -> Column:
     return F.expr(f"array({', '.join(number(v) for v in values)})")
 
 
-def assign(df: DataFrame, centroids: Centroids, features: str = "features") -> DataFrame:
+def assign(df: DataFrame, centroids: Centroids, features: str = "features", width: int = 0) -> DataFrame:
     """Add the nearest cluster and its distance; ties go to the lowest id.
 
-    Centres are literals, k times d numbers fixed by the model, so nothing is joined.
+    Centres are literals, k times d numbers fixed by the model, so nothing is joined. Rows with a
+    wide part (``width`` places, see ``kmeans``) are measured in numpy.
     """
+    if width:
+        return _assign_wide(df, centroids, features, width)
     dists = F.array(*[distance(F.col(features), center(c)) for c in centroids.centers])
     return (
         df.withColumn("_d", dists)
@@ -60,6 +64,22 @@ def assign(df: DataFrame, centroids: Centroids, features: str = "features") -> D
     )
 
 
+def _assign_wide(df: DataFrame, centroids: Centroids, features: str, width: int) -> DataFrame:
+    centers = np.array(centroids.centers)
+    added = [StructField("nearest_distance", DoubleType()), StructField(LABEL, IntegerType())]
+    schema = StructType([*df.schema.fields, *added])
+    names = schema.names
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks = [b.square_distances(centers) for b in Rows.of(batch, width, features).blocks()]
+            far = np.concatenate([np.zeros((0, len(centers))), *blocks])
+            columns = [pa.array(np.sqrt(far.min(1))), pa.array(far.argmin(1).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names)
+
+    return df.mapInArrow(nearest, schema)
+
+
 def cluster_sizes(df: DataFrame) -> DataFrame:
     return df.groupBy(LABEL).agg(F.count(F.lit(1)).alias("cluster_size"))
 
@@ -84,8 +104,10 @@ def balance(sizes: DataFrame) -> DataFrame:
     )
 
 
-def davies_bouldin(df: DataFrame, dim: int, features: str = "features") -> DataFrame:
+def davies_bouldin(df: DataFrame, dim: int, features: str = "features", width: int = 0) -> DataFrame:
     """One row. Two passes of partial aggregates; the pairs are formed among k rows."""
+    if width:
+        return _davies_bouldin_wide(df, dim, features, width)
     centers = df.groupBy(LABEL).agg(
         F.array(*[F.avg(F.get(F.col(features), F.lit(i))) for i in range(dim)]).alias("c")
     )
@@ -104,38 +126,85 @@ def davies_bouldin(df: DataFrame, dim: int, features: str = "features") -> DataF
     return packed.select((total / F.size("g")).alias("davies_bouldin"))
 
 
+def _davies_bouldin_wide(df: DataFrame, dim: int, features: str, width: int) -> DataFrame:
+    """As above for rows with a wide part: sums by label in numpy, k centres on the driver."""
+    labels = sorted(r[LABEL] for r in cluster_sizes(df).collect())  # k rows
+    k, d = len(labels), dim + width
+    rows = df.select(LABEL, F.col(features).alias("features"), "idx", "val")
+
+    def places(batch: pa.RecordBatch) -> np.ndarray:
+        return np.searchsorted(labels, batch.column(LABEL).to_numpy(zero_copy_only=False))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        total = np.zeros((k, d + 1))
+        for batch in batches:
+            of = places(batch)
+            total[:, :d] += Rows.of(batch, width).sums(of, k)
+            total[:, d] += np.bincount(of, minlength=k)
+        return total.ravel()
+
+    total = add_up(rows, sums, k * (d + 1)).reshape(k, d + 1)
+    centers = total[:, :d] / np.maximum(total[:, d:], 1)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        off = np.zeros(k)
+        for batch in batches:
+            of = places(batch)
+            far = np.sqrt(Rows.of(batch, width).square_distances(centers)[np.arange(len(of)), of])
+            off += np.bincount(of, far, k)
+        return off
+
+    scatter = add_up(rows, spread, k) / np.maximum(total[:, d], 1)
+    apart = np.sqrt(square_distances(centers, centers))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = (scatter[:, None] + scatter) / apart
+    ratio[np.arange(k), np.arange(k)] = -np.inf
+    value = float(np.mean(ratio.max(1))) if k > 1 else None
+    return df.sparkSession.createDataFrame([(value,)], "davies_bouldin double")
+
+
 def _width(a: str, b: str) -> Column:
     a, b = F.col(a), F.col(b)
     return F.when(a.isNotNull() & b.isNotNull() & (F.greatest(a, b) > 0), (b - a) / F.greatest(a, b)).otherwise(0.0)
 
 
-def _pair_sums(labels: Sequence[int], features: str):
+def _between(a: Rows, b: Rows, places: int = 512) -> np.ndarray:
+    """Distances of all rows of ``a`` to all of ``b``, so many places of the wide part at a time."""
+    out = square_distances(a.x, b.x)
+    d = a.x.shape[1]
+    for at in range(d, d + a.width, places):
+        out += square_distances(a.dense(at, at + places), b.dense(at, at + places))
+    return np.sqrt(np.maximum(out, 0.0))
+
+
+def _pair_sums(labels: Sequence[int], width: int):
     """For a function over one pair of blocks: each row's distances to the rows of the other block,
     summed by the cluster of these."""
     names = [f"s{c}" for c in range(len(labels))]
 
     def sums(pair: pa.Table) -> pa.Table:
-        block = pair.combine_chunks().to_batches()[0]
-        x, rid = matrix(block, features), block.column("rid").to_numpy(zero_copy_only=False)
-        mine, side = block.column(LABEL).to_numpy(zero_copy_only=False), block.column("side").to_numpy(zero_copy_only=False)
-        x = x - x.mean(0)
+        batch = pair.combine_chunks().to_batches()[0]
+        rid, mine, side = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rid", LABEL, "side"))
+        order = np.argsort(side, kind="stable")
+        batch, rid, mine = batch.take(pa.array(order)), rid[order], mine[order]
+        rows = Rows.of(batch, width)
+        rows.x = rows.x - rows.x.mean(0)
         member = (mine[:, None] == np.array(labels)).astype(float)
-        first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if not len(second):  # a block and itself, or nothing in the other
-            meets = [(first, first)] if (block.column("i")[0] == block.column("j")[0]) else []
+        cut, n = int((side == 0).sum()), len(side)
+        if cut == n:  # a block and itself, or nothing in the other
+            meets = [(0, n, 0, n)] if batch.column("i")[0] == batch.column("j")[0] else []
         else:
-            meets = [(first, second), (second, first)]
+            meets = [(0, cut, cut, n), (cut, n, 0, cut)]
         rids, owns, totals = [rid[:0]], [mine[:0]], [np.zeros((0, len(labels)))]
-        for rows, others in meets:
-            for at in range(0, len(rows), 500):
-                some = rows[at : at + 500]
-                total = np.zeros((len(some), len(labels)))
-                for other in range(0, len(others), 2000):
-                    part = others[other : other + 2000]
-                    far = np.sqrt(np.maximum(square_distances(x[some], x[part]), 0.0))
-                    total += far @ member[part]
-                rids.append(rid[some])
-                owns.append(mine[some])
+        for a, z, other_a, other_z in meets:
+            for at in range(a, z, 500):
+                end = min(at + 500, z)
+                total = np.zeros((end - at, len(labels)))
+                for b in range(other_a, other_z, 2000):
+                    part = slice(b, min(b + 2000, other_z))
+                    total += _between(rows[at:end], rows[part]) @ member[part]
+                rids.append(rid[at:end])
+                owns.append(mine[at:end])
                 totals.append(total)
         total = np.vstack(totals)
         columns = [pa.array(np.concatenate(rids)), pa.array(np.concatenate(owns).astype(np.int32))]
@@ -146,7 +215,7 @@ def _pair_sums(labels: Sequence[int], features: str):
 
 def silhouette(
     df: DataFrame, key_cols: Sequence[str], measure: str = "euclidean", features: str = "features",
-    block_rows: int = 2000,
+    block_rows: int = 2000, width: int = 0,
 ) -> DataFrame:
     """One row: the mean silhouette of all rows, and their number.
 
@@ -159,6 +228,8 @@ def silhouette(
     ``df`` should be a written frame.
     """
     if measure == "squared":
+        if width:
+            raise ValueError("the squared measure takes rows without a wide part")
         return _squared_silhouette(df, features)
     if measure != "euclidean":
         raise ValueError(f"measure must be 'euclidean' or 'squared', not {measure!r}")
@@ -168,17 +239,18 @@ def silhouette(
         return df.agg(F.lit(None).cast("double").alias("silhouette"), F.lit(0).cast("long").alias("silhouette_rows"))
     n_blocks = max(1, -(-sum(sizes.values()) // block_rows))
     block = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in key_cols], features), F.lit(n_blocks)).cast("int")
-    rows = df.select(block.alias("_block"), *key_cols, LABEL, features)
+    held = [F.col(features).alias("features"), *row_columns(width)[1:]]
+    rows = df.select(block.alias("_block"), *key_cols, LABEL, *held)
     # a row's number: its block and its place in it
-    place = F.row_number().over(Window.partitionBy("_block").orderBy(*key_cols, features))
-    rows = rows.select("_block", (F.col("_block").cast("long") * 2**32 + place).alias("rid"), LABEL, features)
+    place = F.row_number().over(Window.partitionBy("_block").orderBy(*key_cols, *row_columns(width)))
+    rows = rows.select("_block", (F.col("_block").cast("long") * 2**32 + place).alias("rid"), LABEL, *row_columns(width))
     pair = F.struct(
         F.least("_block", "other").alias("i"), F.greatest("_block", "other").alias("j"),
         (F.col("_block") > F.col("other")).cast("int").alias("side"),
     )
     copies = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("other"))
-    copies = copies.select("rid", LABEL, features, pair.alias("p")).select("rid", LABEL, features, "p.*")
-    function, schema = _pair_sums(labels, features)
+    copies = copies.select("rid", LABEL, *row_columns(width), pair.alias("p")).select("rid", LABEL, *row_columns(width), "p.*")
+    function, schema = _pair_sums(labels, width)
     summed = copies.groupBy("i", "j").applyInArrow(function, schema)
     per_row = summed.groupBy("rid", "own").agg(*[F.sum(f"s{c}").alias(f"s{c}") for c in range(len(labels))])
 
@@ -246,10 +318,11 @@ def cluster_quality(
     min_cluster_ratio: float = 0.05,
     measure: str = "euclidean",
     features: str = "features",
+    width: int = 0,
 ) -> DataFrame:
     """One row of quality measures for a labelled frame."""
-    sil = silhouette(df, key_cols, measure, features).select(F.struct("*")).scalar()
-    db = davies_bouldin(df, dim, features).scalar()
+    sil = silhouette(df, key_cols, measure, features, width=width).select(F.struct("*")).scalar()
+    db = davies_bouldin(df, dim, features, width).scalar()
     return (
         balance(cluster_sizes(df))
         .withColumn("_s", sil)
@@ -315,7 +388,7 @@ def cluster_summary(df: DataFrame, min_cluster_ratio: float = 0.05) -> DataFrame
 
 
 def evaluate_ks(
-    df: DataFrame, key_cols: Sequence[str], columns: Sequence[str], config: ProfilerConfig
+    df: DataFrame, key_cols: Sequence[str], columns: Sequence[str], config: ProfilerConfig, width: int = 0
 ) -> tuple[DataFrame, Centroids]:
     """Fit every candidate k below the row count; best composite, balance, silhouette wins."""
     n = df.count()
@@ -323,11 +396,11 @@ def evaluate_ks(
     if not ks:
         raise ValueError(f"no candidate k below the number of rows ({n})")
     rows, schema = [], None
-    fitted = fit_restarts(df, columns, ks, config.n_init, config.max_iter, config.seed, key_cols)
+    fitted = fit_restarts(df, columns, ks, config.n_init, config.max_iter, config.seed, key_cols, width=width)
     for k, model in fitted.items():
-        labelled = assign(df, model).select(*key_cols, LABEL, "features").persist()
+        labelled = assign(df, model, width=width).select(*key_cols, LABEL, *row_columns(width)).persist()
         row = cluster_quality(
-            labelled, key_cols, len(columns), config.min_cluster_ratio, config.silhouette_measure
+            labelled, key_cols, len(columns), config.min_cluster_ratio, config.silhouette_measure, width=width
         ).withColumn("k", F.lit(k))
         sizes = cluster_sizes(labelled).agg(
             F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(LABEL), F.col("cluster_size")))))

@@ -10,6 +10,9 @@ Starts are drawn by the k-means++ rule from the rows themselves: each row holds
 key, and the row of the least ``-ln(u) / weight`` wins, ``u`` being the hash mixed with restart
 and step. The draw hangs on keys and values only, so partitions, their order and lost tasks change
 nothing.
+
+A row is an array of numbers, ``features``, and may go on with a wide part that is mostly zero,
+given by the arrays ``idx`` and ``val`` of its other places: category features of any number.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from pyspark.sql import functions as F
 TOLERANCE = 1e-4
 #: Rows whose distances to all centres are held at once.
 BLOCK_ROWS = 4096
+#: Numbers of centres moved in one pass, about: runs beyond it move in passes of their own.
+PASS_NUMBERS = 4_000_000
 #: Modulus of the draws: products of two numbers below it fit a 64-bit integer.
 PRIME = 2**31 - 1
 
@@ -59,6 +64,88 @@ def matrix(batch: pa.RecordBatch, features: str) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+class Rows:
+    """Rows of numbers with a wide part of ``width`` places, mostly zero, in compressed form."""
+
+    def __init__(self, x: np.ndarray, width: int = 0, sizes=None, idx=None, val=None):
+        self.x, self.width = x, width
+        if width:
+            self.ends = np.concatenate([[0], np.cumsum(sizes)])
+            self.idx, self.val = idx, val
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch, width: int = 0, features: str = "features") -> Rows:
+        x = matrix(batch, features)
+        if not width:
+            return cls(x)
+        idx, val = batch.column("idx"), batch.column("val")
+        sizes = np.diff(idx.offsets.to_numpy())
+        flat = idx.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        return cls(x, width, sizes, flat, val.flatten().to_numpy(zero_copy_only=False))
+
+    def __len__(self) -> int:
+        return len(self.x)
+
+    def __getitem__(self, part: slice) -> Rows:
+        if not self.width:
+            return Rows(self.x[part])
+        at = np.arange(len(self))[part]
+        a, z = (self.ends[at[0]], self.ends[at[-1] + 1]) if len(at) else (0, 0)
+        return Rows(self.x[part], self.width, np.diff(self.ends)[part], self.idx[a:z], self.val[a:z])
+
+    def blocks(self) -> Iterator[Rows]:
+        for at in range(0, len(self), BLOCK_ROWS):
+            yield self[at : at + BLOCK_ROWS]
+
+    def _owner(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self)), np.diff(self.ends))
+
+    def square_distances(self, centers: np.ndarray) -> np.ndarray:
+        d = self.x.shape[1]
+        out = square_distances(self.x, centers[:, :d])
+        if self.width and len(self):
+            wide, owner = centers[:, d:], self._owner()
+            own = np.bincount(owner, self.val * self.val, len(self))
+            # what the places given differ from zero by; the other places add the centre's squares
+            cross = np.empty((len(self), len(centers)))
+            for c in range(len(centers)):
+                cross[:, c] = np.bincount(owner, self.val * wide[c, self.idx], len(self))
+            out = np.maximum(out + own[:, None] - 2 * cross + (wide * wide).sum(1), 0.0)
+        return out
+
+    def sums(self, label: np.ndarray, size: int) -> np.ndarray:
+        """The rows added up by label."""
+        chosen = np.zeros((size, len(self)))
+        chosen[label, np.arange(len(self))] = 1.0
+        out = chosen @ self.x
+        if not self.width:
+            return out
+        wide = np.bincount(label[self._owner()] * self.width + self.idx, self.val, size * self.width)
+        return np.concatenate([out, wide.reshape(size, self.width)], axis=1)
+
+    def dense(self, first: int, end: int) -> np.ndarray:
+        """The places ``first`` to ``end`` of all rows, the numbers before the wide part."""
+        d = self.x.shape[1]
+        parts = [self.x[:, first:end]]
+        if self.width and end > d:
+            a, z = max(first - d, 0), end - d
+            mine = (self.idx >= a) & (self.idx < z)
+            wide = np.zeros((len(self), min(z, self.width) - a))
+            wide[self._owner()[mine], self.idx[mine] - a] = self.val[mine]
+            parts.append(wide)
+        return np.concatenate(parts, axis=1)
+
+    def row(self, i: int) -> tuple[list, list, list]:
+        if not self.width:
+            return self.x[i].tolist(), [], []
+        a, z = self.ends[i], self.ends[i + 1]
+        return self.x[i].tolist(), self.idx[a:z].tolist(), self.val[a:z].tolist()
+
+
+def row_columns(width: int) -> list[str]:
+    return ["features", "idx", "val"] if width else ["features"]
+
+
 def square_distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     """Of each row to each centre; where the difference of large squares is all rounding, plainly."""
     both = (x * x).sum(1)[:, None] + (centers * centers).sum(1)
@@ -88,32 +175,32 @@ def key_hash(key_cols: Sequence[str]):
     return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long") % PRIME
 
 
-def draw_starts(rows: DataFrame, k: int, n_init: int, seed: int) -> list[np.ndarray]:
+def draw_starts(rows: DataFrame, k: int, n_init: int, seed: int, width: int = 0) -> list[np.ndarray]:
     """Starts of ``n_init`` restarts: ``k`` passes over ``rows(key, features)``, one centre each.
 
     Centre j is drawn with odds of the squared distance to the nearest centre before it. Fewer
     distinct rows than ``k`` give fewer centres.
     """
-    starts: list[list[list[float]]] = [[] for _ in range(n_init)]
+    starts: list[list[np.ndarray]] = [[] for _ in range(n_init)]
     for step in range(k):
         held = [np.array(s) for s in starts]
 
         def best(batches: Iterator[pa.RecordBatch], held=held, step=step) -> Iterator[pa.RecordBatch]:
-            found: dict[int, tuple[float, int, list[float]]] = {}
+            found: dict[int, tuple] = {}
             for batch in batches:
-                x, keys = matrix(batch, "features"), batch.column("key").to_numpy(zero_copy_only=False)
-                if not len(x):
+                every, keys = Rows.of(batch, width), batch.column("key").to_numpy(zero_copy_only=False)
+                if not len(every):
                     continue
                 for r, centers in enumerate(held):
                     if len(centers) < step:
                         continue
-                    weight = square_distances(x, centers).min(1) if step else np.ones(len(x))
+                    weight = every.square_distances(centers).min(1) if step else np.ones(len(every))
                     with np.errstate(divide="ignore"):
                         score = np.where(weight > 0, _draws(keys, seed, r, step) / np.maximum(weight, 1e-300), np.inf)
                     least = score.min()
                     if np.isfinite(least):
                         at = np.flatnonzero(score == least)
-                        row = min((float(least), int(keys[i]), x[i].tolist()) for i in at)
+                        row = min((float(least), int(keys[i]), *every.row(i)) for i in at)
                         if r not in found or row < found[r]:
                             found[r] = row
             table = [(r, *row) for r, row in found.items()]
@@ -122,56 +209,63 @@ def draw_starts(rows: DataFrame, k: int, n_init: int, seed: int) -> list[np.ndar
             )
 
         drawn = rows.mapInArrow(best, _START_SCHEMA).groupBy("restart").agg(
-            F.min(F.struct("score", "key", "features")).alias("row")
+            F.min(F.struct("score", "key", "features", "idx", "val")).alias("row")
         )
         for r in drawn.collect():  # one row a restart
-            starts[r["restart"]].append(list(r["row"]["features"]))
+            wide = np.zeros(width)
+            wide[np.array(r["row"]["idx"], int)] = r["row"]["val"]
+            starts[r["restart"]].append(np.concatenate([r["row"]["features"], wide]))
     return [np.array(s) for s in starts]
 
 
-_START_NAMES = ["restart", "score", "key", "features"]
-_START_TYPES = [pa.int32(), pa.float64(), pa.int64(), pa.list_(pa.float64())]
-_START_SCHEMA = "restart int, score double, key long, features array<double>"
+_START_NAMES = ["restart", "score", "key", "features", "idx", "val"]
+_START_TYPES = [pa.int32(), pa.float64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.float64())]
+_START_SCHEMA = "restart int, score double, key long, features array<double>, idx array<int>, val array<double>"
 
 
-def _sums(rows: DataFrame, runs: Sequence[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+def add_up(rows: DataFrame, function, size: int) -> np.ndarray:
+    """``size`` numbers that ``function`` adds up of each task's batches, added over all tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat = function(batches)
+        slots = np.flatnonzero(flat)
+        yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(flat[slots])], ["slot", "value"])
+
+    added = rows.mapInArrow(run, "slot int, value double").groupBy("slot").agg(F.sum("value").alias("value")).toArrow()
+    total = np.zeros(size)
+    total[added.column("slot").to_numpy()] = added.column("value").to_numpy()
+    return total
+
+
+def _sums(rows: DataFrame, runs: Sequence[np.ndarray], width: int = 0) -> list[tuple[np.ndarray, np.ndarray, float]]:
     """One pass: for each run, rows per cluster, their sums, and the cost of its centres."""
     sizes = [len(c) for c in runs]
     ends = np.cumsum(sizes)
     every = np.vstack(runs)
+    d = every.shape[1]
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = every.shape[1]
+    def add(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         total = np.zeros((len(every), d + 2))  # sums, number, cost
         for batch in batches:
-            x = matrix(batch, "features")
-            for at in range(0, len(x), BLOCK_ROWS):
-                block = x[at : at + BLOCK_ROWS]
-                far = square_distances(block, every)
+            for block in Rows.of(batch, width).blocks():
+                far = block.square_distances(every)
                 for size, end in zip(sizes, ends, strict=True):
                     mine = far[:, end - size : end]
                     label = mine.argmin(1)
-                    chosen = np.zeros((size, len(block)))
-                    chosen[label, np.arange(len(block))] = 1.0
                     part = total[end - size : end]
-                    part[:, :d] += chosen @ block
-                    part[:, d] += chosen.sum(1)
-                    part[:, d + 1] += chosen @ mine[np.arange(len(block)), label]
-        flat = total.ravel()
-        slots = np.flatnonzero(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(flat[slots])], ["slot", "value"])
+                    part[:, :d] += block.sums(label, size)
+                    part[:, d] += np.bincount(label, minlength=size)
+                    part[:, d + 1] += np.bincount(label, mine[np.arange(len(block)), label], size)
+        return total.ravel()
 
-    added = rows.mapInArrow(add, "slot int, value double").groupBy("slot").agg(F.sum("value").alias("value"))
-    found = added.toArrow()  # restarts x clusters x (features + 2) numbers
-    total = np.zeros((len(every), every.shape[1] + 2))
-    total.ravel()[found.column("slot").to_numpy()] = found.column("value").to_numpy()
+    total = add_up(rows, add, len(every) * (d + 2)).reshape(len(every), d + 2)
     parts = np.split(total, ends[:-1])
     return [(p[:, -2], p[:, :-2], float(p[:, -1].sum())) for p in parts]
 
 
 def lloyd(
     rows: DataFrame, starts: Sequence[np.ndarray], max_iter: int, tolerance: float = 0.0,
-    on_pass: Callable[[int], None] | None = None,
+    on_pass: Callable[[int], None] | None = None, width: int = 0,
 ) -> list[Run]:
     """Move all ``starts`` over ``rows(features)`` until they stand still or ``max_iter`` moves are made.
 
@@ -186,8 +280,12 @@ def lloyd(
     while at:
         if on_pass:
             on_pass(len(at))
+        # as many runs as the bound on numbers allows
+        share = max(1, PASS_NUMBERS // max(c.size for c in at.values()))
         ids = list(at)
-        for i, (n, sums, cost) in zip(ids, _sums(rows, [at[i] for i in ids]), strict=True):
+        groups = [ids[i : i + share] for i in range(0, len(ids), share)]
+        found = [part for g in groups for part in _sums(rows, [at[i] for i in g], width)]
+        for i, (n, sums, cost) in zip(ids, found, strict=True):
             if i in still or moves[i] == max_iter:
                 done[i] = Run(at.pop(i), cost, moves[i])
                 continue
@@ -209,6 +307,7 @@ def fit_restarts(
     key_cols: Sequence[str] = (),
     features: str = "features",
     tolerance: float = TOLERANCE,
+    width: int = 0,
 ) -> dict[int, Centroids]:
     """For each k the best of ``n_init`` restarts by cost, all fitted in the same passes.
 
@@ -218,15 +317,16 @@ def fit_restarts(
     (to twelve digits) rank by number. ``df`` should be a written frame (``session.durable``): every
     pass reads it again.
     """
-    named = key_hash(key_cols) if key_cols else F.pmod(F.xxhash64(features), F.lit(PRIME).cast("long"))
-    rows = df.select(named.alias("key"), F.col(features).alias("features")).persist()
+    wide = ["idx", "val"] if width else []
+    named = key_hash(key_cols) if key_cols else F.pmod(F.xxhash64(features, *wide), F.lit(PRIME).cast("long"))
+    rows = df.select(named.alias("key"), F.col(features).alias("features"), *wide).persist()
     try:
-        starts = draw_starts(rows, max(ks), n_init, seed)
+        starts = draw_starts(rows, max(ks), n_init, seed, width)
         runs = [(k, s[:k]) for k in ks for s in starts if len(s)]
         if not runs:
             raise ValueError("no rows to fit on")
-        limit = tolerance * _mean_variance(rows, len(columns))
-        fitted = lloyd(rows, [s for _, s in runs], max_iter, limit)
+        limit = tolerance * _mean_variance(rows, len(columns), width)
+        fitted = lloyd(rows, [s for _, s in runs], max_iter, limit, width=width)
     finally:
         rows.unpersist()
     best: dict[int, Run] = {}
@@ -239,11 +339,11 @@ def fit_restarts(
     }
 
 
-def _mean_variance(rows: DataFrame, dim: int) -> float:
+def _mean_variance(rows: DataFrame, dim: int, width: int) -> float:
     """The columns' mean population variance: the cost of one cluster at the mean, a row and column."""
-    origin = np.zeros((1, dim))
-    (n, sums, cost), = _sums(rows, [origin])
-    return float((cost / n[0] - ((sums[0] / n[0]) ** 2).sum()) / dim) if n[0] else 0.0
+    origin = np.zeros((1, dim + width))
+    (n, sums, cost), = _sums(rows, [origin], width)
+    return float((cost / n[0] - ((sums[0] / n[0]) ** 2).sum()) / (dim + width)) if n[0] else 0.0
 
 
 def fit_kmeans(

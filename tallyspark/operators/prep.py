@@ -19,6 +19,13 @@ class Prep:
     scale: tuple[float, ...]
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which a missing key matches a missing key, so that no row is lost."""
+    other = right.withColumnsRenamed({k: f"_{k}" for k in keys})
+    on = [left[k].eqNullSafe(other[f"_{k}"]) for k in keys]
+    return left.join(other, on, how).drop(*[f"_{k}" for k in keys])
+
+
 def unpivoted(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``feature, value`` rows. Grouped aggregates over them keep their code small however
     wide the model is, and shuffle one row per column and task."""

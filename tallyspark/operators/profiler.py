@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from tallyspark.config import ProfilerConfig
 from tallyspark.functions.numeric import numeric_columns
+from tallyspark.operators.categories import CategoryPrep, apply_categories, fit_categories, with_wide
 from tallyspark.operators.clustering import Centroids, assign, cluster_summary, evaluate_ks
 from tallyspark.operators.outliers import outlier_weeks
-from tallyspark.operators.prep import Prep, apply_prep, fit_prep
+from tallyspark.operators.prep import Prep, apply_prep, fit_prep, join_same
 from tallyspark.session import durable
 
 
@@ -25,6 +26,7 @@ class ProfilerModel:
     summary: DataFrame
     evaluation: DataFrame
     scope: DataFrame
+    categories: CategoryPrep | None = None
 
 
 def fit_profiler(
@@ -32,8 +34,13 @@ def fit_profiler(
     entity_cols: Sequence[str] = (),
     config: ProfilerConfig = ProfilerConfig(),
     pooled_outliers: bool = False,
+    categories: DataFrame | None = None,
 ) -> tuple[ProfilerModel, DataFrame, DataFrame]:
-    """(model, labelled training weeks, removed weeks)."""
+    """(model, labelled training weeks, removed weeks).
+
+    ``categories`` is the long table of the same ledger (``weekly_category_long``): its amounts and
+    shares join the features, however many categories there are.
+    """
     keys = [*entity_cols, "YearWeek"]
     weeks = durable(weeks)
     if config.drop_outliers:
@@ -43,11 +50,16 @@ def fit_profiler(
         kept, removed = durable(kept), removed.select(*keys)
     else:
         kept, removed = weeks, weeks.select(*keys).limit(0)
-    prep = fit_prep(kept, numeric_columns(kept, keys), config.variance_threshold)
-    prepared = apply_prep(kept, prep)
-    evaluation, centroids = evaluate_ks(prepared, keys, prep.columns, config)
-    labelled = assign(prepared, centroids).drop("features", "nearest_distance")
     before, after = weeks.count(), kept.count()
+    prep = fit_prep(kept, numeric_columns(kept, keys), config.variance_threshold)
+    prepared, wide, width = apply_prep(kept, prep), None, 0
+    if categories is not None:
+        mine = durable(join_same(categories, kept.select(*keys), keys, "left_semi"))
+        wide = fit_categories(mine, after, config.variance_threshold)
+        width = wide.width
+        prepared = durable(apply_categories(prepared, mine, wide, keys))
+    evaluation, centroids = evaluate_ks(prepared, keys, prep.columns, config, width)
+    labelled = assign(prepared, centroids, width=width).drop("features", "idx", "val", "nearest_distance")
     summary = cluster_summary(labelled, config.min_cluster_ratio)
     summary = weeks.sparkSession.createDataFrame(summary.collect(), summary.schema)  # k rows
     scope = weeks.sparkSession.range(1).select(
@@ -55,9 +67,12 @@ def fit_profiler(
         F.lit(before - after).alias("removed_outlier_week_count"),
         F.lit(after).alias("final_training_weekly_count"),
     )
-    return ProfilerModel(prep, centroids, summary, evaluation, scope), labelled, removed
+    return ProfilerModel(prep, centroids, summary, evaluation, scope, wide), labelled, removed
 
 
-def predict_profile(weeks: DataFrame, model: ProfilerModel) -> DataFrame:
-    """Add the cluster of each week."""
-    return assign(apply_prep(weeks, model.prep), model.centroids).drop("features", "nearest_distance")
+def predict_profile(
+    weeks: DataFrame, model: ProfilerModel, entity_cols: Sequence[str] = (), categories: DataFrame | None = None
+) -> DataFrame:
+    """Add the cluster of each week. A model with category features takes the weeks' long table."""
+    prepared, width = with_wide(apply_prep(weeks, model.prep), model.categories, [*entity_cols, "YearWeek"], categories)
+    return assign(prepared, model.centroids, width=width).drop("features", "idx", "val", "nearest_distance")

@@ -15,8 +15,9 @@ from tallyspark.operators.clustering import LABEL
 from tallyspark.operators.contracts import risk_level
 from tallyspark.operators.forecast import PREDICTION, ForecastModel, forecast
 from tallyspark.operators.monthly import latest_month_snapshot
+from tallyspark.operators.prep import join_same
 from tallyspark.operators.profiler import ProfilerModel, predict_profile
-from tallyspark.operators.weekly import weekly_features
+from tallyspark.operators.weekly import weekly_category_long, weekly_features
 
 DEFAULT_PROFILE = "genel_davranis_profili"
 DEFAULT_CLUSTER_RISK = 0.50
@@ -56,13 +57,6 @@ def latest(df: DataFrame, key: str = "YearWeek", entity_cols: Sequence[str] = ()
     return df.withColumn("_r", F.row_number().over(last)).filter("_r = 1").drop("_r")
 
 
-def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join in which a missing key matches a missing key, so that no entity is lost."""
-    other = right.withColumnsRenamed({k: f"_{k}" for k in keys})
-    on = [left[k].eqNullSafe(other[f"_{k}"]) for k in keys]
-    return left.join(other, on, how).drop(*[f"_{k}" for k in keys])
-
-
 def cluster_risk_map(summary: DataFrame) -> DataFrame:
     """``cluster_label, profile_label, cluster_risk`` for k clusters, squeezed to 0.15-1."""
 
@@ -257,6 +251,10 @@ def risk_components(
     weeks = latest(
         weekly_features(clean, entity_cols, "profile", model_categories(models)), "YearWeek", entity_cols
     )
+    categories = None
+    if models.profiler.categories or models.anomaly.categories:
+        keys = [*entity_cols, "YearWeek"]
+        categories = join_same(weekly_category_long(clean, entity_cols), weeks.select(*keys), keys)
     risks = cluster_risk_map(models.profiler.summary)
     per_cluster = risks.agg(
         F.map_from_entries(
@@ -265,7 +263,7 @@ def risk_components(
             )
         )
     )  # k rows
-    profile = with_cluster_risk(predict_profile(weeks, models.profiler), risks).select(
+    profile = with_cluster_risk(predict_profile(weeks, models.profiler, entity_cols, categories), risks).select(
         *weeks.columns,
         F.col(LABEL).alias("cluster_id"),
         "profile_label",
@@ -273,7 +271,7 @@ def risk_components(
         per_cluster.scalar().alias("cluster_risk_map"),
     )
     am = models.anomaly
-    signals = score_weeks(profile, am, 5).select(
+    signals = score_weeks(profile, am, 5, [*entity_cols, "YearWeek"], categories).select(
         *entity_cols,
         F.col("YearWeek").alias("year_week"),
         "cluster_id", "profile_label", "profile_risk_norm", "cluster_risk_map",

@@ -26,6 +26,18 @@ def wide_weeks(source: str) -> str:
 wide AS (SELECT w.*, c.* EXCLUDE ({KEY}) FROM {source} w JOIN cats c USING ({KEY}))"""
 
 
+def category_stats_sql(weeks: str, rnd) -> str:
+    """Statistics of the category columns, zeros included, and their places by kind and category."""
+    known = ", ".join(f"('cat_{b}_{k}', '{k}', '{b}')" for b in BRANDS for k in ("amount", "ratio"))
+    columns = ", ".join(f'"cat_{b}_{k}"' for b in BRANDS for k in ("amount", "ratio"))
+    return f"""WITH {weeks}, {wide_weeks("weekly")},
+cells AS (UNPIVOT (SELECT {columns} FROM wide) ON {columns} INTO NAME feature VALUE x),
+known(feature, kind, category) AS (VALUES {known}),
+stats AS (SELECT feature, kind, category, count(*) AS n, avg(x) AS m, var_pop(x) AS v FROM cells JOIN known USING (feature) GROUP BY ALL),
+places AS (SELECT feature, row_number() OVER (ORDER BY kind, category) - 1 AS place FROM stats WHERE v > 0.01)
+SELECT feature, kind, category, n, {rnd("m", 4)} AS mean, {rnd("sqrt(v)", 4)} AS deviation, place FROM stats LEFT JOIN places USING (feature)"""
+
+
 def points(variant: str, threshold: float) -> str:
     """``pts``: id, key, hash of the key, and the selected, scaled features as a list."""
     names = weekly_columns(variant, BRANDS)
@@ -177,3 +189,34 @@ given(r, c, z) AS (VALUES {rows}),
 {walk("SELECT * FROM given", max_iter, repr(limit))}
 SELECT r AS run, c AS cluster, i AS feature, {rnd("v")} AS value, iterations, {rnd("cost", 4)} AS cost
 FROM (SELECT r, c, unnest(z) AS v, generate_subscripts(z, 1) AS i FROM ended) JOIN costs USING (r)"""
+
+
+def forecast_sql(split: str, target: str, baseline: str, features, alpha: float, elastic: float, l1_ratio: float, rnd) -> str:
+    """Least squares, ridge and elastic net on two features by closed forms, over all ranges of months."""
+    x1, x2 = features
+    l1, l2 = elastic * l1_ratio, elastic * (1 - l1_ratio)
+    scores = f"sqrt(avg(pow(p - y, 2))) AS rmse, avg(abs(p - y)) AS mae, 1 - sum(pow(p - y, 2)) / (var_pop(y) * count(*)) AS r2"
+    return f"""WITH {split},
+bounds AS (SELECT count(DISTINCT position) FILTER (split = 'train') AS m, count(DISTINCT position) FILTER (split <> 'test') AS v,
+  count(DISTINCT position) AS n FROM placed),
+ranges AS (SELECT 'fold ' || i AS name, m - (4 - i) * (m // 4) AS fit_end, m - (3 - i) * (m // 4) AS score_end FROM bounds, range(1, 4) r(i)
+ UNION ALL SELECT 'valid', m, v FROM bounds UNION ALL SELECT 'test', v, n FROM bounds),
+fit AS (SELECT name, {x1} AS x1, {x2} AS x2, {target} AS y FROM ranges JOIN placed ON position < fit_end),
+means AS (SELECT name, avg(x1) AS m1, avg(x2) AS m2, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2, avg(y) AS my, count(*) AS n FROM fit GROUP BY name),
+sums AS (SELECT name, any_value(n)::DOUBLE AS n, sum((x1 - m1) / s1 * (x2 - m2) / s2) AS g, sum((x1 - m1) / s1 * (y - my)) AS b1,
+  sum((x2 - m2) / s2 * (y - my)) AS b2 FROM fit JOIN means USING (name) GROUP BY name),
+systems AS (SELECT name, 'baseline_linear' AS model, n AS d, g, b1, b2 FROM sums
+ UNION ALL SELECT name, 'ridge', n + {alpha}, g, b1, b2 FROM sums
+ UNION ALL SELECT name, 'elasticnet', 1 + {l2!r}::DOUBLE, g / n, b1 / n - {l1!r}::DOUBLE * sign(n * b1 - g * b2), b2 / n - {l1!r}::DOUBLE * sign(n * b2 - g * b1) FROM sums),
+weights AS (SELECT name, model, (d * b1 - g * b2) / (d * d - g * g) AS w1, (d * b2 - g * b1) / (d * d - g * g) AS w2 FROM systems),
+scored AS (SELECT name, model, {target} AS y, w1 * ({x1} - m1) / s1 + w2 * ({x2} - m2) / s2 + my AS p
+ FROM ranges JOIN weights USING (name) JOIN means USING (name) JOIN placed ON position >= fit_end AND position < score_end),
+scores AS (SELECT name, model, {scores} FROM scored GROUP BY name, model),
+cv AS (SELECT model, avg(rmse) AS cv_rmse_mean, avg(mae) AS cv_mae_mean, avg(r2) AS cv_r2_mean FROM scores WHERE name LIKE 'fold%' GROUP BY model),
+best AS (SELECT model FROM scores WHERE name = 'valid' ORDER BY rmse, CASE model WHEN 'baseline_linear' THEN 0 WHEN 'ridge' THEN 1 ELSE 2 END LIMIT 1),
+plain AS ({baseline}),
+rows AS (SELECT model, name AS split, {rnd("rmse", 2)} AS rmse, {rnd("mae", 2)} AS mae, {rnd("r2")} AS r2 FROM scores
+  WHERE name = 'valid' OR name = 'test' AND model = (SELECT model FROM best)
+ UNION ALL BY NAME SELECT * FROM plain)
+SELECT rows.*, {rnd("cv_rmse_mean", 2)} AS cv_rmse_mean, {rnd("cv_mae_mean", 2)} AS cv_mae_mean, {rnd("cv_r2_mean")} AS cv_r2_mean,
+ model = (SELECT model FROM best) AS chosen FROM rows LEFT JOIN cv USING (model)"""

@@ -12,8 +12,8 @@ from tallyspark.operators.weekly import (
 )
 from tallyspark.plans import fit_oracles
 from tallyspark.plans.queries import (
-    DESCRIPTIONS, FIXED_CENTROIDS, FIXED_PREP, FIXED_SEVERE, FIXED_THRESHOLD, FORECAST_WEIGHT_HISTORY,
-    FORECAST_WEIGHT_SO_FAR, GIVEN_LIMIT, GIVEN_MOVES, GIVEN_STARTS, LABELS, NATION_PREP, NUDGE, STAT_COLUMNS, digits,
+    CUSTOMER_PREP, DESCRIPTIONS, FIT_FORECAST, FIXED_CENTROIDS, FIXED_FORECAST, FIXED_PREP, FIXED_SEVERE, FIXED_THRESHOLD, FORECAST_WEIGHT_HISTORY,
+    FORECAST_WEIGHT_SO_FAR, GIVEN_LIMIT, GIVEN_MOVES, GIVEN_STARTS, LABELS, NATION_PREP, NUDGE, SMALL_FEATURES, STAT_COLUMNS, digits,
 )
 
 INTEGER = {
@@ -360,6 +360,51 @@ levelled AS (SELECT *, CASE WHEN risk_score < 40 THEN 'LOW' WHEN risk_score < 70
   WHEN risk_score IS NOT NULL THEN 'HIGH' END AS risk_level FROM fused)"""
 
 
+def _report(label_rules: str) -> str:
+    """The whole report by fixed models; segments' clusters give the risk of a cluster."""
+    pre, lin = FIXED_FORECAST.preprocess, FIXED_FORECAST.model
+    terms = " + ".join(
+        f"{w!r}::DOUBLE * (CASE WHEN has_snapshot THEN {c} ELSE {mid!r} END - {m!r}::DOUBLE) / {s!r}::DOUBLE"
+        for c, w, mid, m, s in zip(pre.prep.columns, lin.coefficients, pre.medians, pre.prep.mean, pre.prep.scale, strict=True)
+    )
+    no_entropy = _scaled(CUSTOMER_PREP).replace("(category_entropy -", "(0 -")
+    ok = "CASE WHEN has_snapshot THEN {} END".format
+    return f"""WITH means AS (WITH {SCORES},
+  g AS (SELECT cluster_label, {_AVGS}, {_RAW_RISK} AS r, count(*) AS cluster_size FROM scored GROUP BY cluster_label)
+  SELECT cluster_label, r, {label_rules} AS profile_label FROM g),
+ends AS (SELECT *, min(r) OVER () AS lo, max(r) OVER () AS hi, count(*) OVER () AS k FROM means),
+risks AS (SELECT cluster_label, profile_label, CASE WHEN k = 1 THEN 0.5 ELSE 0.15 + 0.85 * (r - lo) / nullif(hi - lo, 0) END AS risk FROM ends),
+{CUSTOMERS}, {WEEKLY},
+last_week AS (SELECT * FROM weekly QUALIFY row_number() OVER (PARTITION BY entity ORDER BY "YearWeek" DESC) = 1),
+seen AS (SELECT entity, "YearWeek", {_scaled(CUSTOMER_PREP)} FROM last_week),
+near AS (SELECT *, {", ".join(f"{_dist(c)} AS d{i}" for i, c in enumerate(_C))} FROM seen),
+labelled AS (SELECT entity, CAST(CASE WHEN d0 <= d1 AND d0 <= d2 THEN 0 WHEN d1 <= d2 THEN 1 ELSE 2 END AS INTEGER) AS cluster_id FROM near),
+odd_seen AS (SELECT entity, "YearWeek", {no_entropy} FROM last_week),
+odd AS (SELECT entity, "YearWeek", least({", ".join(_dist(c) for c in _C)}) AS anomaly_score FROM odd_seen),
+signals AS (SELECT entity, "YearWeek" AS year_week, cluster_id, profile_label, round(risk, 4) AS profile_risk_norm,
+  round(anomaly_score, 6) AS anomaly_score, anomaly_score > {FIXED_THRESHOLD} AS is_anomaly, anomaly_score > {FIXED_SEVERE} AS is_severe_anomaly,
+  round({_NORM}, 4) AS anomaly_risk_norm FROM odd JOIN labelled USING (entity) JOIN risks ON cluster_id = cluster_label),
+{monthly("least(15, last_day)")},
+b AS (SELECT entity, "YearMonth" AS year_month, has_snapshot, CAST(snapshot_day AS INTEGER) AS effective_snapshot_day, total_expense_so_far AS spent,
+  {lin.intercept!r}::DOUBLE + {terms} AS p, rolling_3m_expense_mean AS pace, greatest(coalesce(c_acctbal * 10, 0), 0) AS budget
+ FROM months LEFT JOIN customer ON entity = c_custkey WHERE is_latest),
+u AS (SELECT *, CASE WHEN budget >= 1 THEN p / budget ELSE 0 END AS used FROM b),
+s AS (SELECT *, 1 / (1 + exp(-(used - 1) * 6)) AS chance FROM u),
+money AS (SELECT entity, year_month, effective_snapshot_day, {ok("round(spent, 2)")} AS spent_so_far,
+  {ok("round(p, 2)")} AS predicted_month_end_expense, round(budget, 2) AS budget,
+  {ok("round(CASE WHEN budget >= 1 THEN budget - spent ELSE 0 END, 2)")} AS budget_remaining,
+  {ok("round(used, 4)")} AS budget_usage_ratio,
+  {ok("round(CASE WHEN budget >= 1 THEN greatest(0, p - budget) ELSE 0 END, 2)")} AS expected_overrun_amount,
+  {ok("round(CASE WHEN budget >= 1 THEN chance ELSE 0 END, 4)")} AS budget_overrun_probability,
+  {ok("round(CASE WHEN budget >= 1 THEN chance WHEN pace > 0 THEN least(1, greatest(0, p / pace)) ELSE 0.5 END, 4)")} AS forecast_risk_norm FROM s),
+fused AS (SELECT *, round((0.35::DOUBLE * profile_risk_norm + 0.25::DOUBLE * anomaly_risk_norm + 0.40::DOUBLE * forecast_risk_norm) * 100, 2) AS risk_score
+ FROM signals JOIN money USING (entity))
+SELECT *, CASE WHEN risk_score < 40 THEN 'LOW' WHEN risk_score < 70 THEN 'MEDIUM' WHEN risk_score >= 70 THEN 'HIGH' END AS risk_level,
+ CASE WHEN forecast_risk_norm IS NULL THEN NULL WHEN profile_risk_norm >= anomaly_risk_norm AND profile_risk_norm >= forecast_risk_norm THEN 'profile'
+  WHEN anomaly_risk_norm >= forecast_risk_norm THEN 'anomaly' ELSE 'forecast' END AS dominant_driver,
+ CASE WHEN forecast_risk_norm IS NULL THEN 'no snapshot in the latest month' ELSE 'ok' END AS status FROM fused"""
+
+
 def all_oracles() -> dict[str, str]:
     q: dict[str, str] = {}
     q["clean_ledger"] = f"""WITH {DIRTY_CLEAN} SELECT *, CASE WHEN {_ANY} THEN -"Amount" ELSE "Amount" END AS "Signed Amount" FROM clean"""
@@ -454,6 +499,7 @@ SELECT CASE measure WHEN 'e' THEN 'euclidean' ELSE 'squared' END AS measure,
  {rnd("avg(coalesce((b - a) / nullif(greatest(a, b), 0), 0))")} AS silhouette, count(*) AS silhouette_rows FROM ab GROUP BY measure"""
     q["kmeans_restarts"] = fit_oracles.given_starts_sql(SCORES, _DIM, GIVEN_STARTS, GIVEN_MOVES, GIVEN_LIMIT, rnd)
     q["kmeans_anomaly"] = fit_oracles.anomaly_sql(WEEKS, rnd)
+    q["category_feature_stats"] = fit_oracles.category_stats_sql(WEEKS, rnd)
     q["profiler_evaluation"] = fit_oracles.evaluation_sql(WEEKS, robust(True), votes(3.5), rnd)
     q["kmeans_profiler"] = fit_oracles.profiler_sql(WEEKS, robust(True), votes(3.5), rnd, _LABEL_RULES)
     q["profile_labels"] = f"""WITH {EVENT_WEEKS},
@@ -479,6 +525,11 @@ m AS (SELECT avg({TARGET}) FILTER (split = 'train') AS v, avg({TARGET}) FILTER (
 SELECT 'baseline_mean' AS model, split, {_metrics(TARGET, "v")} FROM placed, m WHERE split = 'valid' GROUP BY split
 UNION ALL BY NAME
 SELECT 'baseline_mean' AS model, split, {_metrics(TARGET, "t")} FROM placed, m WHERE split = 'test' GROUP BY split"""
+    means = q["baseline_metrics"].split(f"WITH {SPLIT},\nm AS ")[1]
+    q["forecast_small"] = fit_oracles.forecast_sql(
+        SPLIT, TARGET, f"WITH m AS {means}", SMALL_FEATURES, FIT_FORECAST.ridge_alpha, FIT_FORECAST.elastic_alpha,
+        FIT_FORECAST.elastic_l1_ratio, rnd,
+    )
     q["regression_metrics"] = f"""WITH {ORDERS}, {monthly("15")},
 p AS (SELECT {TARGET}, {_NAIVE} AS pred FROM months WHERE has_snapshot AND total_transactions >= 5)
 SELECT {_metrics(TARGET, "pred")} FROM p"""
@@ -502,6 +553,7 @@ SELECT entity, "YearMonth", CASE WHEN has_snapshot THEN 'ok' ELSE 'no snapshot i
  CASE WHEN has_snapshot THEN {rnd("CASE WHEN budget >= 1 THEN chance ELSE 0 END")} END AS budget_overrun_probability,
  CASE WHEN has_snapshot THEN {rnd("CASE WHEN budget >= 1 THEN chance WHEN pace > 0 THEN least(1, greatest(0, p / pace)) ELSE 0.5 END")} END AS forecast_risk
 FROM s"""
+    q["risk_report_fixed"] = _report(share)
     q["latest_week"] = f"""WITH {EVENT_WEEKS} SELECT {KEY}, {pick(("total_expense", "rolling_4w_expense_mean"))}
  FROM weekly QUALIFY row_number() OVER (PARTITION BY entity ORDER BY "YearWeek" DESC) = 1"""
     week_line = (

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tallyspark.config import AnomalyConfig, ForecastConfig, ProfilerConfig, RiskConfig
 from tallyspark.functions.calendar import is_weekend, iso_year_week, with_calendar
 from tallyspark.operators import anomaly as A
+from tallyspark.operators import categories as CAT
 from tallyspark.operators import clustering as K
 from tallyspark.operators import contracts as C
 from tallyspark.operators import forecast as FC
@@ -25,7 +26,8 @@ from tallyspark.operators import prep as P
 from tallyspark.operators import risk as R
 from tallyspark.operators import weekly as W
 from tallyspark.operators.cleaning import clean_ledger, split_flows
-from tallyspark.operators.profiler import fit_profiler, predict_profile
+from tallyspark.operators.moments import Linear
+from tallyspark.operators.profiler import ProfilerModel, fit_profiler
 from tallyspark.plans.ledgers import dirty_ledger, event_ledger, order_ledger, table
 from tallyspark.session import durable
 
@@ -60,6 +62,14 @@ FIXED_THRESHOLD, FIXED_SEVERE = 2.5, 3.25
 #: Scaling for the weeks of nations, which are smaller than those of segments.
 NATION_PREP = P.Prep(FIXED_PREP.columns, (240000.0, 120000.0, 0.28, 53000.0, 2.1), (110000.0, 90000.0, 0.2, 8000.0, 0.5))
 GIVEN_MOVES, GIVEN_LIMIT = 300, 1e-18
+#: A forecaster of two features and scaling for customers' weeks, for the report with fixed models.
+CUSTOMER_PREP = P.Prep(FIXED_PREP.columns, (35000.0, 12000.0, 0.28, 38000.0, 0.1), (25000.0, 25000.0, 0.45, 22000.0, 0.3))
+SMALL_FEATURES = ("total_expense_so_far", "rolling_3m_expense_mean")
+SMALL_CANDIDATES = ("baseline_linear", "ridge", "elasticnet")
+FIXED_FORECAST = FC.ForecastModel(
+    "ridge", 15, SMALL_FEATURES, FC.Preprocess(P.Prep(SMALL_FEATURES, (50000.0, 60000.0), (40000.0, 30000.0)), (45000.0, 55000.0)),
+    Linear((36000.0, 10500.0), 70000.0),
+)
 #: Three sets of starting centres for k-means: the fixed ones, drawn in, and mirrored.
 GIVEN_STARTS = [[[v * f for v in c] for c in FIXED_CENTROIDS.centers] for f in (1.0, 0.5, -1.0)]
 FORECAST_WEIGHT_SO_FAR, FORECAST_WEIGHT_HISTORY = 1.15, 0.45
@@ -228,6 +238,18 @@ def q_feature_variance(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.withColumn("selected", F.col("variance") > 0.01))
 
 
+def q_category_feature_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Every category feature's statistics over all weeks, and its place among the selected ones."""
+    clean = orders(spark, d)
+    long = durable(W.weekly_category_long(clean, E))
+    n = long.select(*KEY).distinct().count()
+    prep = CAT.fit_categories(long, n, 0.01)
+    places = prep.table.select("feature", F.col("place").cast("long").alias("place"))
+    spread = F.sqrt("variance").alias("deviation")
+    stats = CAT.category_stats(long, n).select("feature", "kind", "category", "n", "mean", spread)
+    return rounded(stats.join(places, "feature", "left"), {"mean": 4, "deviation": 4})
+
+
 def q_scaled_features(spark: SparkSession, d: str) -> DataFrame:
     frame = durable(weeks(spark, d))
     prep = P.fit_prep(frame, STAT_COLUMNS, 0.01)
@@ -445,6 +467,30 @@ def q_risk_fusion(spark: SparkSession, d: str) -> DataFrame:
     return fused.select("o_orderkey", "risk_score", "risk_level", "dominant_driver", "status", *lines)
 
 
+def q_risk_report_fixed(spark: SparkSession, d: str) -> DataFrame:
+    """The whole report for customers, by models whose parameters are given."""
+    summary = K.cluster_summary(durable(fixed_scores(spark, d).drop("features")), 0.05)
+    profiler = ProfilerModel(CUSTOMER_PREP, FIXED_CENTROIDS, durable(summary), None, None)
+    detector = A.AnomalyModel(CUSTOMER_PREP, FIXED_CENTROIDS, FIXED_THRESHOLD, FIXED_SEVERE)
+    budgets = table(spark, d, "customer").select(
+        F.col("c_custkey").alias("entity"), (F.col("c_acctbal") * 10).alias("budget")
+    )
+    report = R.risk_report(order_ledger(spark, d, "o_custkey"), R.RiskModels(profiler, detector, FIXED_FORECAST), E, budgets)
+    part = "components"
+    return report.select(
+        "entity", "risk_score", "risk_level", "dominant_driver", "status",
+        *[F.col(f"{part}.profile.{c}") for c in ("year_week", "cluster_id", "profile_label", "profile_risk_norm")],
+        *[F.col(f"{part}.anomaly.{c}") for c in (A.SCORE, "is_anomaly", "is_severe_anomaly", "anomaly_risk_norm")],
+        *[
+            F.col(f"{part}.forecast.{c}")
+            for c in (
+                "year_month", "effective_snapshot_day", "spent_so_far", FC.PREDICTION, "budget", "budget_remaining",
+                "budget_usage_ratio", "expected_overrun_amount", "budget_overrun_probability", "forecast_risk_norm",
+            )
+        ],
+    )
+
+
 # contracts ------------------------------------------------------------------------------
 
 
@@ -518,27 +564,30 @@ FIT_ANOMALY = AnomalyConfig()
 FIT_FORECAST = ForecastConfig()
 
 
-def category_weeks(clean: DataFrame, variant: str = "profile") -> DataFrame:
-    """Weeks with the category columns: the whole input of the fits."""
-    return W.weekly_features(clean, E, variant, W.list_categories(clean))
+def _profiler(spark: SparkSession, d: str) -> ProfilerModel:
+    """Fitted on weeks with all category features."""
+    clean = orders(spark, d)
+    return fit_profiler(W.weekly_features(clean, E), E, FIT_PROFILER, categories=W.weekly_category_long(clean, E))[0]
 
 
 def q_kmeans_profiler(spark: SparkSession, d: str) -> DataFrame:
     """The chosen clusters' summary, beside the scope of the training."""
-    model, _, _ = fit_profiler(category_weeks(orders(spark, d)), E, FIT_PROFILER)
+    model = _profiler(spark, d)
     scope = [F.lit(v).alias(c) for c, v in model.scope.first().asDict().items()]
     shown = rounded(model.summary, {c: 4 for c in model.summary.columns})
     return shown.select("*", *scope)
 
 
 def q_profiler_evaluation(spark: SparkSession, d: str) -> DataFrame:
-    model, _, _ = fit_profiler(category_weeks(orders(spark, d)), E, FIT_PROFILER)
+    model = _profiler(spark, d)
     measured = model.evaluation.drop("cluster_counts").withColumn("chosen", F.col("k") == model.centroids.k)
     return rounded(measured)
 
 
 def q_kmeans_anomaly(spark: SparkSession, d: str) -> DataFrame:
-    model, scored, _ = A.fit_anomaly(category_weeks(orders(spark, d), "anomaly"), KEY, FIT_ANOMALY)
+    clean = orders(spark, d)
+    long = W.weekly_category_long(clean, E)
+    model, scored, _ = A.fit_anomaly(W.weekly_features(clean, E, "anomaly"), KEY, FIT_ANOMALY, long)
     return rounded(scored.select(*KEY, A.SCORE, K.LABEL, "is_anomaly", "is_severe_anomaly"))
 
 
@@ -548,13 +597,20 @@ def q_forecast_candidates(spark: SparkSession, d: str) -> DataFrame:
     return metrics.join(cv, "model", "left")
 
 
+def q_forecast_small(spark: SparkSession, d: str) -> DataFrame:
+    """The three squared-loss candidates on two features: cross-validation, selection, refit and test."""
+    data = M.forecast_dataset(orders(spark, d), 15, 5, E).select("entity", "YearMonth", M.MONTH, *SMALL_FEATURES, M.TARGET)
+    model, metrics, cv = FC.fit_forecaster(data, E, FIT_FORECAST, SMALL_CANDIDATES)
+    found = metrics.join(cv, "model", "left").withColumn("chosen", F.col("model") == model.name)
+    return rounded(found, {c: 2 for c in ("rmse", "mae", "cv_rmse_mean", "cv_mae_mean")})
+
+
 def q_risk_report(spark: SparkSession, d: str) -> DataFrame:
     """Models fitted on segments, customers scored against a budget of their own."""
     clean = orders(spark, d)
-    categories = W.list_categories(clean)
-    frame = durable(W.weekly_features(clean, E, "profile", categories))
-    profiler, _, _ = fit_profiler(frame, E, FIT_PROFILER)
-    detector, _, _ = A.fit_anomaly(frame.select(*KEY, *W.weekly_columns("anomaly", categories)), KEY, FIT_ANOMALY)
+    frame, long = durable(W.weekly_features(clean, E)), durable(W.weekly_category_long(clean, E))
+    profiler, _, _ = fit_profiler(frame, E, FIT_PROFILER, categories=long)
+    detector, _, _ = A.fit_anomaly(frame.select(*KEY, *W.weekly_columns("anomaly")), KEY, FIT_ANOMALY, long)
     data = durable(M.forecast_dataset(clean, 15, 5, E))
     forecaster, _, _ = FC.fit_forecaster(data, E, FIT_FORECAST)
     models = R.RiskModels(profiler, detector, forecaster)

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyspark.config import AnomalyConfig, ForecastConfig, ProfilerConfig
 from tallyspark.operators.anomaly import AnomalyModel
+from tallyspark.operators.categories import CategoryPrep
 from tallyspark.operators.clustering import Centroids
 from tallyspark.operators.forecast import ForecastModel, Preprocess
 from tallyspark.operators.moments import Linear
@@ -76,11 +77,24 @@ def _read_centers(spark: SparkSession, columns: tuple[str, ...], path: str) -> C
     return Centroids(columns, tuple(tuple(r["center"]) for r in rows), rows[0]["cost"])
 
 
+def _write_categories(spark: SparkSession, categories: CategoryPrep | None, path: str) -> None:
+    """The table of category features, in as many files as it has ranges; its width tells whether there is one."""
+    _write(spark, [(categories.width if categories else None,)], "width int", f"{path}/category_width")
+    if categories:
+        categories.table.write.parquet(f"{path}/categories")
+
+
+def _read_categories(spark: SparkSession, path: str) -> CategoryPrep | None:
+    width = _read(spark, f"{path}/category_width").first()["width"]
+    return None if width is None else CategoryPrep(_read(spark, f"{path}/categories"), width)
+
+
 def _save_parts(spark: SparkSession, model: Model, path: str) -> None:
     if isinstance(model, AnomalyModel):
         kind = "anomaly"
         _write_prep(spark, model.prep, path)
         _write_centers(spark, model.centroids, path)
+        _write_categories(spark, model.categories, path)
         _write(
             spark, [(model.anomaly_threshold, model.severe_threshold)],
             "anomaly_threshold double, severe_threshold double", f"{path}/thresholds",
@@ -89,6 +103,7 @@ def _save_parts(spark: SparkSession, model: Model, path: str) -> None:
         kind = "profiler"
         _write_prep(spark, model.prep, path)
         _write_centers(spark, model.centroids, path)
+        _write_categories(spark, model.categories, path)
         for name in ("summary", "evaluation", "scope"):
             getattr(model, name).coalesce(1).write.parquet(f"{path}/{name}")
     else:
@@ -122,10 +137,10 @@ def _load_parts(spark: SparkSession, path: str) -> Model:
     prep, medians = _read_prep(spark, path)
     if kind == "anomaly":
         cut = _read(spark, f"{path}/thresholds").first()
-        return AnomalyModel(prep, _read_centers(spark, prep.columns, path), cut[0], cut[1])
+        return AnomalyModel(prep, _read_centers(spark, prep.columns, path), cut[0], cut[1], _read_categories(spark, path))
     if kind == "profiler":
         tables = [_read(spark, f"{path}/{n}") for n in ("summary", "evaluation", "scope")]
-        return ProfilerModel(prep, _read_centers(spark, prep.columns, path), *tables)
+        return ProfilerModel(prep, _read_centers(spark, prep.columns, path), *tables, _read_categories(spark, path))
     head = _read(spark, f"{path}/forecaster").first()
     texts = _read(spark, f"{path}/texts").orderBy("feature").collect()
     pre = Preprocess(
