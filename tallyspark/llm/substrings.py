@@ -38,6 +38,8 @@ DEPTH = 2
 CELLS = 8
 #: Text bytes of a group, sketch entries and exact keys of a range.
 GROUP_BYTES, RANGE_ENTRIES = 12_000_000, 4_000_000
+#: Buckets of the dealt table at most (Spark refuses more than 100,000); beyond it a bucket holds several groups.
+MAX_BUCKETS = 50_000
 
 _SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
@@ -214,7 +216,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     # a table of the warehouse: only those know that they are dealt by group
     dealt = f"dealt_{uuid.uuid4().hex}"
     grouped = narrow.withColumn("dealt", F.pmod(F.xxhash64("doc_id", "text"), F.lit(plan.groups)))
-    grouped.repartition(plan.groups, "dealt").write.bucketBy(plan.groups, "dealt").format("parquet").saveAsTable(dealt)
+    buckets = min(plan.groups, MAX_BUCKETS)
+    grouped.repartition(buckets, "dealt").write.bucketBy(buckets, "dealt").format("parquet").saveAsTable(dealt)
     table = spark.table(dealt)
 
     def all_keys(texts: list[str]) -> np.ndarray:

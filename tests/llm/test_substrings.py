@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import pytest
 from conftest_llm import EDGES
 
 from tallyspark.llm import substrings
@@ -49,7 +50,9 @@ def test_production_window(frame):
     assert fast(frame(rows), 35) == slow(rows, 35)
 
 
-def test_many_groups_and_ranges(frame, monkeypatch):
+@pytest.mark.parametrize("buckets", [50_000, 3])
+def test_many_groups_and_ranges(frame, monkeypatch, buckets):
+    monkeypatch.setattr(substrings, "MAX_BUCKETS", buckets)
     """Small bounds: many groups and ranges, and a sketch so narrow that it passes much in vain."""
     monkeypatch.setattr(substrings, "GROUP_BYTES", 4_000)
     monkeypatch.setattr(substrings, "RANGE_ENTRIES", 500)
