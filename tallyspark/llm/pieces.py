@@ -39,7 +39,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 SPACE = "▁"
 #: Edges kept in a worker's store of lattices before it starts anew.
-STORE_EDGES = 1_000_000
+STORE_EDGES = 4_000_000
 #: Characters of texts in work at once.
 SLICE_CHARS = 250_000
 
@@ -153,6 +153,11 @@ class Vocabulary:
                 raw[i] = piece.encode()
         return cls(Trie(pieces), weight, raw, byte_ids)
 
+    def spells(self, ids, text: str) -> bool:
+        """Whether the pieces decode to ``text``, its own space marks read as spaces."""
+        data = b"".join(map(self.raw.__getitem__, ids))
+        return data == marked(text).encode("utf-8", "replace") or self.decode(ids) == text.replace(SPACE, " ")
+
     def decode(self, ids) -> str:
         """The text of a piece sequence; spaces come back from their mark."""
         text = b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace").replace(SPACE, " ")
@@ -459,9 +464,8 @@ def sample_encodings(
                 mine = keys.slice(a, len(part))
                 rows, found = [], []
                 for i, (text, samples) in enumerate(zip(part, _slice_samples(store, mine.to_pylist(), part, k), strict=True)):
-                    want = text.replace(SPACE, " ")
                     for j, (log_p, value, inclusion, ids) in enumerate(samples, 1):
-                        rows.append((i, j, len(ids), log_p, value, inclusion, vocab.decode(ids.tolist()) == want))
+                        rows.append((i, j, len(ids), log_p, value, inclusion, vocab.spells(ids.tolist(), text)))
                         found.append(ids)
                 at, number, n, *scores, same = zip(*rows, strict=True)
                 ends = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
