@@ -361,13 +361,15 @@ levelled AS (SELECT *, CASE WHEN risk_score < 40 THEN 'LOW' WHEN risk_score < 70
 
 
 def _report(label_rules: str) -> str:
-    """The whole report by fixed models; segments' clusters give the risk of a cluster."""
+    """The whole report by fixed models; segments' clusters give the risk of a cluster.
+
+    Scores often end between two rounded values, so they are rounded by their decimal digits.
+    """
     pre, lin = FIXED_FORECAST.preprocess, FIXED_FORECAST.model
     terms = " + ".join(
         f"{w!r}::DOUBLE * (CASE WHEN has_snapshot THEN {c} ELSE {mid!r} END - {m!r}::DOUBLE) / {s!r}::DOUBLE"
         for c, w, mid, m, s in zip(pre.prep.columns, lin.coefficients, pre.medians, pre.prep.mean, pre.prep.scale, strict=True)
     )
-    no_entropy = _scaled(CUSTOMER_PREP).replace("(category_entropy -", "(0 -")
     ok = "CASE WHEN has_snapshot THEN {} END".format
     return f"""WITH means AS (WITH {SCORES},
   g AS (SELECT cluster_label, {_AVGS}, {_RAW_RISK} AS r, count(*) AS cluster_size FROM scored GROUP BY cluster_label)
@@ -379,8 +381,7 @@ last_week AS (SELECT * FROM weekly QUALIFY row_number() OVER (PARTITION BY entit
 seen AS (SELECT entity, "YearWeek", {_scaled(CUSTOMER_PREP)} FROM last_week),
 near AS (SELECT *, {", ".join(f"{_dist(c)} AS d{i}" for i, c in enumerate(_C))} FROM seen),
 labelled AS (SELECT entity, CAST(CASE WHEN d0 <= d1 AND d0 <= d2 THEN 0 WHEN d1 <= d2 THEN 1 ELSE 2 END AS INTEGER) AS cluster_id FROM near),
-odd_seen AS (SELECT entity, "YearWeek", {no_entropy} FROM last_week),
-odd AS (SELECT entity, "YearWeek", least({", ".join(_dist(c) for c in _C)}) AS anomaly_score FROM odd_seen),
+odd AS (SELECT entity, "YearWeek", least(d0, d1, d2) AS anomaly_score FROM near),
 signals AS (SELECT entity, "YearWeek" AS year_week, cluster_id, profile_label, round(risk, 4) AS profile_risk_norm,
   round(anomaly_score, 6) AS anomaly_score, anomaly_score > {FIXED_THRESHOLD} AS is_anomaly, anomaly_score > {FIXED_SEVERE} AS is_severe_anomaly,
   round({_NORM}, 4) AS anomaly_risk_norm FROM odd JOIN labelled USING (entity) JOIN risks ON cluster_id = cluster_label),
@@ -397,7 +398,8 @@ money AS (SELECT entity, year_month, effective_snapshot_day, {ok("round(spent, 2
   {ok("round(CASE WHEN budget >= 1 THEN greatest(0, p - budget) ELSE 0 END, 2)")} AS expected_overrun_amount,
   {ok("round(CASE WHEN budget >= 1 THEN chance ELSE 0 END, 4)")} AS budget_overrun_probability,
   {ok("round(CASE WHEN budget >= 1 THEN chance WHEN pace > 0 THEN least(1, greatest(0, p / pace)) ELSE 0.5 END, 4)")} AS forecast_risk_norm FROM s),
-fused AS (SELECT *, round((0.35::DOUBLE * profile_risk_norm + 0.25::DOUBLE * anomaly_risk_norm + 0.40::DOUBLE * forecast_risk_norm) * 100, 2) AS risk_score
+fused AS (SELECT *, CAST(round(CAST(CAST((0.35::DOUBLE * profile_risk_norm + 0.25::DOUBLE * anomaly_risk_norm
+  + 0.40::DOUBLE * forecast_risk_norm) * 100 AS VARCHAR) AS DECIMAL(24, 18)), 2) AS DOUBLE) AS risk_score
  FROM signals JOIN money USING (entity))
 SELECT *, CASE WHEN risk_score < 40 THEN 'LOW' WHEN risk_score < 70 THEN 'MEDIUM' WHEN risk_score >= 70 THEN 'HIGH' END AS risk_level,
  CASE WHEN forecast_risk_norm IS NULL THEN NULL WHEN profile_risk_norm >= anomaly_risk_norm AND profile_risk_norm >= forecast_risk_norm THEN 'profile'
@@ -500,6 +502,10 @@ SELECT CASE measure WHEN 'e' THEN 'euclidean' ELSE 'squared' END AS measure,
     q["kmeans_restarts"] = fit_oracles.given_starts_sql(SCORES, _DIM, GIVEN_STARTS, GIVEN_MOVES, GIVEN_LIMIT, rnd)
     q["kmeans_anomaly"] = fit_oracles.anomaly_sql(WEEKS, rnd)
     q["category_feature_stats"] = fit_oracles.category_stats_sql(WEEKS, rnd)
+    every = ", ".join(f'CAST("{c}" AS DOUBLE) AS "{c}"' for c in PROFILE)
+    q["numeric_feature_stats"] = f"""WITH {WEEKS},
+cells AS (UNPIVOT (SELECT {every} FROM weekly) ON {", ".join(f'"{c}"' for c in PROFILE)} INTO NAME feature VALUE x)
+SELECT feature, count(x) AS n, {rnd("avg(x)", 4)} AS mean, {rnd("stddev_pop(x)", 4)} AS deviation FROM cells GROUP BY feature"""
     q["profiler_evaluation"] = fit_oracles.evaluation_sql(WEEKS, robust(True), votes(3.5), rnd)
     q["kmeans_profiler"] = fit_oracles.profiler_sql(WEEKS, robust(True), votes(3.5), rnd, _LABEL_RULES)
     q["profile_labels"] = f"""WITH {EVENT_WEEKS},
@@ -525,6 +531,7 @@ m AS (SELECT avg({TARGET}) FILTER (split = 'train') AS v, avg({TARGET}) FILTER (
 SELECT 'baseline_mean' AS model, split, {_metrics(TARGET, "v")} FROM placed, m WHERE split = 'valid' GROUP BY split
 UNION ALL BY NAME
 SELECT 'baseline_mean' AS model, split, {_metrics(TARGET, "t")} FROM placed, m WHERE split = 'test' GROUP BY split"""
+    q["metrics_sink"] = q["baseline_metrics"]
     means = q["baseline_metrics"].split(f"WITH {SPLIT},\nm AS ")[1]
     q["forecast_small"] = fit_oracles.forecast_sql(
         SPLIT, TARGET, f"WITH m AS {means}", SMALL_FEATURES, FIT_FORECAST.ridge_alpha, FIT_FORECAST.elastic_alpha,
@@ -592,6 +599,12 @@ FROM s"""
  max(o_totalprice) * 0.9::DOUBLE AS hi FROM orders GROUP BY ALL)
 SELECT o_orderkey, {severity("o_totalprice", "lo", "hi")} AS severity, {level("o_totalprice", "lo", "hi")} AS risk_level
 FROM orders JOIN m USING (o_orderpriority)"""
+    q["registry_scores"] = f"""WITH {SCORES},
+cuts AS (SELECT round(avg(anomaly_score), 6) AS low, round(max(anomaly_score) * (0.8)::DOUBLE, 6) AS high FROM scored),
+named AS (SELECT {KEY}, anomaly_score, CAST("YearWeek"[7:8] AS INTEGER) % 2 = 0 AS own, low, high FROM scored, cuts)
+SELECT {KEY}, CASE WHEN own THEN 'anomaly' ELSE 'risk' END AS name,
+ CASE WHEN own THEN {severity("anomaly_score", "low", "high")} ELSE {severity("anomaly_score", "0", "0")} END AS severity,
+ CASE WHEN NOT own THEN 'thresholds' END AS missing FROM named"""
     q["feature_frame"] = """SELECT c_custkey, nullif(c_acctbal, 0) AS c_acctbal, -1.0::DOUBLE AS absent, c_nationkey FROM customer"""
     q["payload_violations"] = """WITH p AS (SELECT user_id, CAST(ts AS DATE) AS day, list_sort(list_distinct(list(event_type))) AS k
  FROM events GROUP BY ALL),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.config import AnomalyConfig, ForecastConfig, ProfilerConfig, RiskConfig
 from tallyspark.functions.calendar import is_weekend, iso_year_week, with_calendar
+from tallyspark.functions.numeric import numeric_columns
 from tallyspark.operators import anomaly as A
 from tallyspark.operators import categories as CAT
 from tallyspark.operators import clustering as K
@@ -29,7 +30,9 @@ from tallyspark.operators.cleaning import clean_ledger, split_flows
 from tallyspark.operators.moments import Linear
 from tallyspark.operators.profiler import ProfilerModel, fit_profiler
 from tallyspark.plans.ledgers import dirty_ledger, event_ledger, order_ledger, table
-from tallyspark.session import durable
+from tallyspark.session import durable, fresh_path
+from tallyspark.sources.models import write_metrics
+from tallyspark.sources.registry import model_registry, registry_violations, write_metadata
 
 E = ["entity"]
 KEY = ["entity", "YearWeek"]
@@ -68,7 +71,7 @@ SMALL_FEATURES = ("total_expense_so_far", "rolling_3m_expense_mean")
 SMALL_CANDIDATES = ("baseline_linear", "ridge", "elasticnet")
 FIXED_FORECAST = FC.ForecastModel(
     "ridge", 15, SMALL_FEATURES, FC.Preprocess(P.Prep(SMALL_FEATURES, (50000.0, 60000.0), (40000.0, 30000.0)), (45000.0, 55000.0)),
-    Linear((36000.0, 10500.0), 70000.0),
+    Linear((36123.71, 10517.37), 70000.123),  # far from ties of cents
 )
 #: Three sets of starting centres for k-means: the fixed ones, drawn in, and mirrored.
 GIVEN_STARTS = [[[v * f for v in c] for c in FIXED_CENTROIDS.centers] for f in (1.0, 0.5, -1.0)]
@@ -238,6 +241,13 @@ def q_feature_variance(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.withColumn("selected", F.col("variance") > 0.01))
 
 
+def q_numeric_feature_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics of every numeric column that the schema of the weeks shows."""
+    frame = weeks(spark, d)
+    stats = P.feature_stats(frame, numeric_columns(frame, KEY))
+    return rounded(stats.select("feature", "n", "mean", F.sqrt("variance").alias("deviation")), {"mean": 4, "deviation": 4})
+
+
 def q_category_feature_stats(spark: SparkSession, d: str) -> DataFrame:
     """Every category feature's statistics over all weeks, and its place among the selected ones."""
     clean = orders(spark, d)
@@ -383,6 +393,14 @@ def q_baseline_metrics(spark: SparkSession, d: str) -> DataFrame:
     return rounded(FC.baseline_metrics(_split(spark, d)), {"rmse": 2, "mae": 2})
 
 
+def q_metrics_sink(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics written as JSON lines and read back."""
+    path = fresh_path(spark, "metrics")
+    write_metrics(FC.baseline_metrics(_split(spark, d)), path)
+    back = spark.read.schema("model string, split string, rmse double, mae double, r2 double").json(path)
+    return rounded(back, {"rmse": 2, "mae": 2})
+
+
 def naive_forecast() -> Column:
     """A forecast with fixed coefficients, for queries that must not depend on a fit."""
     return (
@@ -535,6 +553,23 @@ def q_registry_thresholds(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def q_registry_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Model metadata as JSON files, thresholds from the scores, read as a table that judges the weeks."""
+    scores = durable(fixed_scores(spark, d).select(*KEY, A.SCORE))
+    low, high = scores.agg(F.round(F.avg(A.SCORE), 6), F.round(F.max(A.SCORE) * 0.8, 6)).first()
+    folder = fresh_path(spark, "registry")
+    write_metadata(spark, "anomaly", {"thresholds": {"anomaly_score_threshold": low, "severe_anomaly_score_threshold": high}}, folder)
+    write_metadata(spark, "risk", {"risk_thresholds": {"low_threshold": 40, "medium_threshold": 70}}, folder)
+    registry = model_registry(spark, folder)
+    lacking = registry_violations(registry, ["thresholds"]).select("name", F.array_join("missing_keys", ",").alias("missing"))
+    week = F.substring("YearWeek", 7, 2).cast("int")
+    rows = scores.withColumn("name", F.when(week % 2 == 0, "anomaly").otherwise("risk"))
+    judged = C.with_registry(rows, registry.select("name", "thresholds")).join(lacking, "name", "left")
+    limits = F.col("thresholds")
+    severity = C.anomaly_severity(F.col(A.SCORE), limits["anomaly_score_threshold"], limits["severe_anomaly_score_threshold"])
+    return judged.select(*KEY, "name", severity.alias("severity"), "missing")
+
+
 def q_feature_frame(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "customer").withColumn("c_acctbal", F.nullif(F.col("c_acctbal"), F.lit(0.0)))
     return C.feature_frame(rows, ["c_acctbal", "absent", "c_nationkey"], -1.0, ["c_custkey"])

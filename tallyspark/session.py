@@ -27,23 +27,50 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8) -> SparkSess
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, named by ``spark.checkpoint.dir``.
 
-    Where none is named, a folder of the warehouse serves, which a cluster shares as well.
+    Where none is named, a folder of the warehouse serves a local master, as in tests; on a
+    cluster that could be a folder of one machine, so there it is an error.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
     return named
 
 
+#: Folders handed out by this driver, for ``clear_written``.
+_WRITTEN: list[str] = []
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder."""
+    path = f"{shared_dir(spark)}/{name}/{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def clear_written(spark: SparkSession) -> int:
+    """Delete the folders written so far by this driver, and say how many.
+
+    Frames that were not used to the end read from them, so this belongs after the last action.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and continue from the written table.
 
     Used before iterative fits: every later pass reads pruned columns from files that
     survive executors, and no pass goes back to the ledger.
     """
-    path = f"{shared_dir(df.sparkSession)}/frames/{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, "frames")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,17 @@ def model_registry(spark: SparkSession, path: str) -> DataFrame:
     return df.select(name.alias("name"), "*")
 
 
+def write_metadata(spark: SparkSession, name: str, content: Mapping[str, object], path: str) -> None:
+    """Write one model's ``<name>_metadata.json`` into a folder of any file system that Spark reads."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}{SUFFIX}")
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(json.dumps({"model_name": name, **content}).encode()))
+    finally:
+        out.close()
+
+
 def registry_violations(registry: DataFrame, required: Sequence[str]) -> DataFrame:
     """Models that lack a required key, with the keys they lack."""
     missing = F.array_compact(F.array(*[F.when(F.col(k).isNull(), F.lit(k)) for k in required]))

@@ -172,3 +172,24 @@ def test_ledger_round_trip(spark, ledger, tmp_path, fmt):
     write_ledger(raw, f"{tmp_path}/l", fmt, sort=True)
     back = read_ledger(spark, f"{tmp_path}/l", fmt)
     assert sorted(map(str, clean_ledger(back).collect())) == sorted(map(str, clean_ledger(raw).collect()))
+
+
+def test_written_frames_are_cleared(spark, tmp_path):
+    from tallyspark import session
+
+    kept, session._WRITTEN[:] = list(session._WRITTEN), []
+    try:
+        frame = session.durable(spark.range(5).toDF("n"))
+        assert frame.count() == 5 and session.clear_written(spark) == 1 and not session._WRITTEN
+        with pytest.raises(Exception, match="(?i)exist"):
+            session.durable(spark.range(5).toDF("n")).count() and frame.collect()
+    finally:
+        session._WRITTEN[:] = kept
+
+
+def test_metadata_is_written_and_read(spark, tmp_path):
+    from tallyspark.sources.registry import write_metadata
+
+    write_metadata(spark, "risk", {"risk_thresholds": {"low_threshold": 30, "medium_threshold": 60}}, f"{tmp_path}/m")
+    row = load_metadata(spark, "risk", f"{tmp_path}/m").first()
+    assert row["model_name"] == "risk" and row["risk_thresholds"]["medium_threshold"] == 60
