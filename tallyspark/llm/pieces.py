@@ -201,7 +201,8 @@ class Store:
 
     def edges_at(self, edge: int) -> range:
         """All edges of the node that ``edge`` starts from."""
-        node = int(np.searchsorted(self.first[: self.nodes + 1], edge, side="right")) - 1
+        # a number of the array's own type, or the whole array would be converted for each search
+        node = int(self.first[: self.nodes + 1].searchsorted(np.int32(edge), side="right")) - 1
         return range(int(self.first[node]), int(self.first[node + 1]))
 
     def add(self, chunks: list[str]) -> None:
