@@ -382,9 +382,10 @@ seen AS (SELECT entity, "YearWeek", {_scaled(CUSTOMER_PREP)} FROM last_week),
 near AS (SELECT *, {", ".join(f"{_dist(c)} AS d{i}" for i, c in enumerate(_C))} FROM seen),
 labelled AS (SELECT entity, CAST(CASE WHEN d0 <= d1 AND d0 <= d2 THEN 0 WHEN d1 <= d2 THEN 1 ELSE 2 END AS INTEGER) AS cluster_id FROM near),
 odd AS (SELECT entity, "YearWeek", least(d0, d1, d2) AS anomaly_score FROM near),
-signals AS (SELECT entity, "YearWeek" AS year_week, cluster_id, profile_label, round(risk, 4) AS profile_risk_norm,
+signals AS (SELECT entity, "YearWeek" AS year_week, cluster_id, coalesce(profile_label, 'genel_davranis_profili') AS profile_label,
+  coalesce(round(risk, 4), 0.5) AS profile_risk_norm,
   round(anomaly_score, 6) AS anomaly_score, anomaly_score > {FIXED_THRESHOLD} AS is_anomaly, anomaly_score > {FIXED_SEVERE} AS is_severe_anomaly,
-  round({_NORM}, 4) AS anomaly_risk_norm FROM odd JOIN labelled USING (entity) JOIN risks ON cluster_id = cluster_label),
+  round({_NORM}, 4) AS anomaly_risk_norm FROM odd JOIN labelled USING (entity) LEFT JOIN risks ON cluster_id = cluster_label),
 {monthly("least(15, last_day)")},
 b AS (SELECT entity, "YearMonth" AS year_month, has_snapshot, CAST(snapshot_day AS INTEGER) AS effective_snapshot_day, total_expense_so_far AS spent,
   {lin.intercept!r}::DOUBLE + {terms} AS p, rolling_3m_expense_mean AS pace, greatest(coalesce(c_acctbal * 10, 0), 0) AS budget
