@@ -33,7 +33,8 @@ _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz
 # Every text that a pattern matches holds one of its keywords; several are parted by a bar.
 FAMILIES = (
     ("apache-1.1", "Apache-1.1", r"apache (?:software )?licen[sc]e,? (?:version |v\.? ?)?1\.1", "apache", ""),
-    ("apache-2.0", "Apache-2.0", r"apache (?:software )?licen[sc]e,?(?: \(?(?:version |v\.? ?)?2(?:\.0)?\)?)?", "apache", r"apache\.org/licenses/license-2\.0"),
+    ("apache-2.0", "Apache-2.0", r"apache (?:software )?licen[sc]e,? \(?(?:version |v\.? ?)?2(?:\.0)?\b\)?", "apache", r"apache\.org/licenses/license-2\.0"),
+    ("apache", "", r"apache (?:software )?licen[sc]e", "apache", ""),
     ("mit", "MIT|MIT-0", r"(?:the )?mit(?:/x11|/expat)? licen[sc]e", "mit", r"opensource\.org/licenses?/mit"),
     ("x11", "X11", r"x11 licen[sc]e", "x11", ""),
     ("bsd-2-clause", "BSD-2-Clause", r"(?:simplified bsd|freebsd|bsd[ -]2[ -]clause|2[ -]clause bsd) licen[sc]e", "bsd", r"opensource\.org/licenses?/bsd-2-clause"),
@@ -47,20 +48,23 @@ FAMILIES = (
     ("lgpl-2.1", "LGPL-2.1|LGPL-2.1-only|LGPL-2.1-or-later", r"(?:gnu )?(?:lesser general public licen[sc]e|lgpl),? ?(?:version |v\.? ?)2\.1", "gpl|general public licen", r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.1"),
     ("lgpl-3.0", "LGPL-3.0|LGPL-3.0-only|LGPL-3.0-or-later", r"(?:gnu )?(?:lesser general public licen[sc]e|lgpl),? ?(?:version |v\.? ?)3(?:\.0)?\b", "gpl|general public licen", r"gnu\.org/licenses/lgpl-3\.0"),
     ("lgpl", "LGPL-2.0-only", r"(?:gnu )?(?:lesser|library) general public licen[sc]e", "public licen", r"gnu\.org/licenses/lgpl"),
-    ("agpl-3.0", "AGPL-3.0|AGPL-3.0-only|AGPL-3.0-or-later", r"(?:gnu )?(?:affero general public licen[sc]e|agpl)(?:,? ?(?:version |v\.? ?)3(?:\.0)?)?", "gpl|general public licen", r"gnu\.org/licenses/agpl"),
+    ("agpl-3.0", "AGPL-3.0|AGPL-3.0-only|AGPL-3.0-or-later", r"(?:gnu )?(?:affero general public licen[sc]e|agpl),? ?(?:version |v\.? ?)3(?:\.0)?\b", "gpl|general public licen", r"gnu\.org/licenses/agpl-3\.0"),
+    ("agpl", "", r"(?:gnu )?(?:affero general public licen[sc]e|agpl\b)", "gpl|general public licen", ""),
     ("gfdl", "GFDL-1.2-only|GFDL-1.3-only", r"gnu free documentation licen[sc]e", "documentation", r"gnu\.org/licenses/fdl"),
-    ("mpl-1.1", "MPL-1.1", r"mozilla public licen[sc]e,? ?(?:version |v\.? ?)1\.1", "mozilla", r"mozilla\.org/mpl/1\.1"),
-    ("mpl-2.0", "MPL-2.0", r"mozilla public licen[sc]e(?:,? ?(?:version |v\.? ?)2\.0)?", "mozilla", r"mozilla\.org/mpl/2\.0"),
-    ("epl-1.0", "EPL-1.0", r"eclipse public licen[sc]e,? ?(?:-|version |v\.? ?)1\.0", "eclipse", r"eclipse\.org/legal/epl-v10"),
-    ("epl-2.0", "EPL-2.0", r"eclipse public licen[sc]e(?:,? ?(?:-|version |v\.? ?)2\.0)?", "eclipse", r"eclipse\.org/legal/epl-2\.0"),
+    ("mpl-1.1", "MPL-1.1", r"mozilla public licen[sc]e,? ?(?:version |v\.? ?)?1\.1", "mozilla", r"mozilla\.org/mpl/1\.1"),
+    ("mpl-2.0", "MPL-2.0", r"mozilla public licen[sc]e,? ?(?:version |v\.? ?)?2\.0", "mozilla", r"mozilla\.org/mpl/2\.0"),
+    ("mpl", "", r"mozilla public licen[sc]e", "mozilla", ""),
+    ("epl-1.0", "EPL-1.0", r"eclipse public licen[sc]e,? ?(?:-|version |v\.? ?)?1\.0", "eclipse", r"eclipse\.org/legal/epl-v10"),
+    ("epl-2.0", "EPL-2.0", r"eclipse public licen[sc]e,? ?(?:-|version |v\.? ?)?2\.0", "eclipse", r"eclipse\.org/legal/epl-2\.0"),
+    ("epl", "", r"eclipse public licen[sc]e", "eclipse", ""),
     ("cddl", "CDDL-1.0|CDDL-1.1", r"common development and distribution licen[sc]e", "distribution licen", ""),
     ("cpl", "CPL-1.0", r"common public licen[sc]e", "common public", ""),
-    ("ecl-2.0", "ECL-2.0", r"educational community licen[sc]e", "educational", ""),
+    ("ecl", "ECL-2.0", r"educational community licen[sc]e", "educational", ""),
     ("eupl", "EUPL-1.1|EUPL-1.2", r"european union public licen[sc]e", "european", ""),
     ("artistic", "Artistic-1.0|Artistic-2.0", r"artistic licen[sc]e", "artistic", r"opensource\.org/licenses?/artistic"),
     ("zlib", "Zlib", r"zlib(?:/libpng)? licen[sc]e", "zlib", ""),
-    ("bsl-1.0", "BSL-1.0", r"boost software licen[sc]e", "boost", r"boost\.org/license_1_0"),
-    ("busl-1.1", "BUSL-1.1", r"business source licen[sc]e", "business source", ""),
+    ("bsl", "BSL-1.0", r"boost software licen[sc]e", "boost", r"boost\.org/license_1_0"),
+    ("busl", "BUSL-1.1", r"business source licen[sc]e", "business source", ""),
     ("sspl", "SSPL-1.0", r"server side public licen[sc]e", "server side", ""),
     ("elastic", "Elastic-2.0", r"elastic licen[sc]e", "elastic", ""),
     ("unlicense", "Unlicense", r"(?:released|licen[sc]ed) under the unlicen[sc]e", "unlicen", r"unlicense\.org"),
@@ -69,7 +73,7 @@ FAMILIES = (
     ("php", "PHP-3.0|PHP-3.01", r"php licen[sc]e", "php", ""),
     ("ruby", "Ruby", r"ruby licen[sc]e", "ruby", ""),
     ("openssl", "OpenSSL", r"openssl licen[sc]e", "openssl", ""),
-    ("ofl-1.1", "OFL-1.1", r"(?:sil )?open font licen[sc]e", "open font", r"scripts\.sil\.org/ofl"),
+    ("ofl", "OFL-1.1", r"(?:sil )?open font licen[sc]e", "open font", r"scripts\.sil\.org/ofl"),
     ("odbl", "ODbL-1.0", r"open data(?:base| commons open database) licen[sc]e", "open data", r"opendatacommons\.org/licenses/odbl"),
     ("odc-by", "ODC-By-1.0", r"open data commons attribution licen[sc]e", "open data", r"opendatacommons\.org/licenses/by"),
     ("pddl", "PDDL-1.0", r"public domain dedication and licen[sc]e", "public domain", ""),
@@ -77,8 +81,8 @@ FAMILIES = (
     ("ms-rl", "MS-RL", r"microsoft reciprocal licen[sc]e", "microsoft", ""),
     ("cc0", "CC0-1.0", r"\bcc0(?:[ -]1\.0)?\b", "cc0", r"creativecommons\.org/publicdomain/zero"),
     ("w3c", "W3C", r"w3c software (?:notice and )?licen[sc]e", "w3c", ""),
-    ("osl-3.0", "OSL-3.0", r"open software licen[sc]e", "open software", ""),
-    ("afl-3.0", "AFL-3.0", r"academic free licen[sc]e", "academic", ""),
+    ("osl", "OSL-3.0", r"open software licen[sc]e", "open software", ""),
+    ("afl", "AFL-3.0", r"academic free licen[sc]e", "academic", ""),
     ("cecill", "CECILL-2.0|CECILL-2.1|CECILL-B|CECILL-C", r"cecill(?:-[bc])? (?:free software )?licen[sc]e", "cecill", ""),
     ("bouncy-castle", "", r"bouncy castle licen[sc]e", "bouncy", ""),
     ("ncsa", "NCSA", r"university of illinois/ncsa open source licen[sc]e", "ncsa", ""),
@@ -134,13 +138,21 @@ class Rule:
     priority: int
 
 
+def in_expression(identifier: str) -> str:
+    """An identifier anywhere in the expression of an identifier line, as in ``(MIT OR Apache-2.0)``.
+
+    The group ``at`` is the identifier itself, so that those of one line don't contain each other.
+    """
+    before = r"(?:[()\w.+-]+[^\S\n]+(?:and|or|with)[^\S\n]+)*\(*"
+    return rf"spdx-license-identifier:[^\S\n]*{before}(?P<at>{re.escape(identifier.lower())})(?![\w.-])"
+
+
 def rules() -> list[Rule]:
     """All rules, in order; several hundred, made from the families."""
     out = []
     for label, spdx, name, keyword, link in FAMILIES:
         for identifier in filter(None, spdx.split("|")):
-            exact = rf"spdx-license-identifier: ?{re.escape(identifier.lower())}(?![\w.-])"
-            out.append(Rule(label, "spdx-license-identifier", exact, PRIORITY["spdx"]))
+            out.append(Rule(label, "spdx-license-identifier", in_expression(identifier), PRIORITY["spdx"]))
         if link:
             out.append(Rule(label, link.split("/")[0].replace("\\", ""), link, PRIORITY["link"]))
         out.append(Rule(label, keyword, _GRANT + rf"(?:{name})", PRIORITY["grant"]))
@@ -148,7 +160,7 @@ def rules() -> list[Rule]:
     for element, words in CC_ELEMENTS.items():
         for version in ("1.0", "2.0", "2.5", "3.0", "4.0"):
             v, label = re.escape(version), f"cc-{element}-{version}"
-            out.append(Rule(label, "spdx-license-identifier", rf"spdx-license-identifier: ?cc-{element}-{v}(?![\w.-])", PRIORITY["spdx"]))
+            out.append(Rule(label, "spdx-license-identifier", in_expression(f"cc-{element}-{version}"), PRIORITY["spdx"]))
             out.append(Rule(label, "creativecommons.org", rf"creativecommons\.org/licenses/{element}/{v}", PRIORITY["link"]))
             out.append(Rule(label, "cc", _GRANT + rf"cc[ -]{element}[ -]{v}", PRIORITY["grant"]))
             out.append(Rule(label, "cc", rf"\bcc[ -]{element}[ -]{v}", PRIORITY["name"]))
@@ -187,7 +199,8 @@ class Scanner:
         for i in sorted({i for numbers in found.values() for i in numbers}):
             rule = self.rules[i]
             pattern = self.compiled.get(i) or self.compiled.setdefault(i, re.compile(rule.pattern))
-            raw += [(m.start(), m.end(), rule.label, rule.priority, i) for m in pattern.finditer(low)]
+            part = "at" if pattern.groupindex else 0
+            raw += [(*m.span(part), rule.label, rule.priority, i) for m in pattern.finditer(low)]
         return suppress(raw)
 
 

@@ -47,7 +47,7 @@ def test_every_match_holds_a_keyword():
 
 @pytest.mark.parametrize(
     "text,label",
-    [("Released under the GPLv3.", "gpl-3.0"), ("under GPL v2", "gpl-2.0"), ("LGPL v2.1", "lgpl-2.1"), ("LGPLv3", "lgpl-3.0"), ("the AGPL", "agpl-3.0")],
+    [("Released under the GPLv3.", "gpl-3.0"), ("under GPL v2", "gpl-2.0"), ("LGPL v2.1", "lgpl-2.1"), ("LGPLv3", "lgpl-3.0"), ("the AGPL", "agpl")],
 )
 def test_short_names(text, label):
     assert licenses.scan(licenses.Scanner(), text)[5] == label
@@ -79,3 +79,21 @@ def test_wrapped_notices(text, label, turn):
 def test_no_version_from_a_list():
     assert licenses.scan(licenses.Scanner(), "the GNU GPL\n1. You may")[5] == ""
     assert licenses.scan(licenses.Scanner(), "the GNU GPL 1.0")[5] == "gpl-1.0"
+
+
+@pytest.mark.parametrize(
+    "text,labels",
+    [
+        ("under the Apache License, Version 1.0 of old", "apache"), ("the Apache License", "apache"),
+        ("the Apache License 2.0", "apache-2.0"), ("Licensed under the Apache License (v2)", "apache-2.0"),
+        ("Mozilla Public License 1.0", "mpl"), ("Mozilla Public License, v. 2.0", "mpl-2.0"),
+        ("Eclipse Public License", "epl"), ("Eclipse Public License - v 2.0", "epl"), ("Eclipse Public License 2.0", "epl-2.0"),
+        ("GNU Affero General Public License", "agpl,gpl"), ("AGPL v3", "agpl-3.0"), ("the Open Software License", "osl"),
+        ("SPDX-License-Identifier: (MIT OR Apache-2.0)", "apache-2.0,mit"),
+        ("SPDX-License-Identifier: MIT", "mit"), ("// SPDX-License-Identifier: ISC AND (BSD-3-Clause OR Zlib)", "bsd-3-clause,isc,zlib"),
+        ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0", "gpl-2.0"),
+        ("SPDX-License-Identifier: MITx", ""), ("SPDX-License-Identifier: CC-BY-SA-4.0", "cc-by,cc-by-sa-4.0"),
+    ],
+)
+def test_labels_name_only_what_the_text_names(text, labels):
+    assert licenses.scan(licenses.Scanner(), text)[5] == labels
