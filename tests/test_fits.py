@@ -1,4 +1,4 @@
-"""The registered fits do the whole job: default settings, all candidates, category columns."""
+"""The registered fits do the whole job: default settings, all candidates, all category features."""
 
 from __future__ import annotations
 
@@ -34,7 +34,12 @@ def test_fit_inputs(spark, monkeypatch, name):
         Q.all_queries()[name](spark, SF)
     defaults = {"profiler": ProfilerConfig(), "anomaly": AnomalyConfig(), "forecast": ForecastConfig()}
     for kind, (args, named) in calls.items():
-        assert args[2:] == (defaults[kind],) and not named, kind
-        if kind != "forecast":
-            assert any(c.startswith("cat_") and c.endswith("_amount") for c in args[0].columns), kind
+        assert args[2] == defaults[kind], kind
+        if kind == "forecast":
+            assert len(args) == 3 and not named
+        else:  # the long table of all categories, every week of it
+            long = named.get("categories") or args[3]
+            assert set(long.columns) == {"entity", "YearWeek", "category", "amount", "ratio"}, kind
+            assert long.select("category").distinct().count() == 25
+            assert long.select("entity", "YearWeek").distinct().count() == args[0].count()
     assert len(calls) == (3 if whole else 1)
