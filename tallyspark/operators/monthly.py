@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions.calendar import is_weekend, month_start, year_month
 from tallyspark.functions.numeric import clean_numeric, safe_ratio
 from tallyspark.operators.cleaning import require_columns, split_flows
+from tallyspark.operators.recent import recent_rows
 
 MONTH = "MonthStartDate"
 INPUT_COLUMNS = ("Date", "Description", "Amount", "Transaction Type", "Category")
@@ -231,9 +232,11 @@ def latest_month_snapshot(
     """Each entity's last month with its effective snapshot day.
 
     Entities whose last month has no snapshot stay, with null features and
-    ``has_snapshot`` false.
+    ``has_snapshot`` false. The last month's columns look three months back, so only the rows of
+    each entity's last four existing months fold into cells.
     """
-    months = month_table(ledger, entity_cols, day, effective_day=True).filter("is_latest")
+    recent = recent_rows(ledger, entity_cols, months=4)
+    months = month_table(recent, entity_cols, day, effective_day=True).filter("is_latest")
     ok = has_snapshot()
     features = [F.when(ok, F.col(c)).alias(c) for c in FEATURE_COLUMNS if c != "snapshot_day"]
     return months.select(*entity_cols, "YearMonth", MONTH, "snapshot_day", ok.alias("has_snapshot"), *features)

@@ -7,19 +7,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.session import durable
+
+#: Order lines a task joins at a time, on average.
+ROWS_PER_TASK = 400_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Joins carry no hint: Spark broadcasts a side only under its own size limit."""
+    """Joins carry no hint: Spark broadcasts a side only under its own size limit.
+
+    Many order lines are dealt to tasks of a bounded number of rows; their number comes from the
+    files' footers. Fewer are left to Spark.
+    """
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    tasks = -(-lines.count() // ROWS_PER_TASK)
+    if tasks > spark.sparkContext.defaultParallelism:
+        lines, orders = lines.repartition(tasks, "l_orderkey"), orders.repartition(tasks, "o_orderkey")
     return (
-        table(spark, sf_dir, "lineitem")
-        .join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        lines
+        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     )
@@ -27,8 +40,19 @@ def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_ledger(spark: SparkSession, sf_dir: str, entity: str = "c_mktsegment") -> DataFrame:
     """Raw ledger with an ``entity`` column (market segment or customer key)."""
-    return _order_lines(spark, sf_dir).select(
-        F.col(entity).alias("entity"),
+    return _ledger(_order_lines(spark, sf_dir), F.col(entity).alias("entity"))
+
+
+def order_ledgers(spark: SparkSession, sf_dir: str, *entities: str) -> list[DataFrame]:
+    """Order ledgers by several entities, from order lines that are joined and written once."""
+    lines = durable(_ledger(_order_lines(spark, sf_dir), *entities))
+    rest = lines.columns[len(entities):]
+    return [lines.select(F.col(e).alias("entity"), *rest) for e in entities]
+
+
+def _ledger(lines: DataFrame, *entities: str | Column) -> DataFrame:
+    return lines.select(
+        *entities,
         F.col("l_shipdate").alias("Date"),
         F.col("p_type").alias("Description"),
         F.col("l_extendedprice").alias("Amount"),
