@@ -122,5 +122,9 @@ def clean_ledger(
     duplicates by key and its hash spreads rows evenly whatever the entity sizes.
     The output carries no order.
     """
-    rows = normalise_ledger(df, entity_cols, date_formats, read_nulls).distinct()
-    return rows.withColumn("Signed Amount", signed_amount())
+    return without_duplicates(normalise_ledger(df, entity_cols, date_formats, read_nulls))
+
+
+def without_duplicates(rows: DataFrame) -> DataFrame:
+    """Normalised rows once each, with ``Signed Amount``."""
+    return rows.distinct().withColumn("Signed Amount", signed_amount())

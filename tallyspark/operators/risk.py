@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 
 from tallyspark.config import RiskConfig
 from tallyspark.operators.anomaly import SCORE, AnomalyModel, score_weeks
-from tallyspark.operators.cleaning import clean_ledger
+from tallyspark.operators.cleaning import normalise_ledger, without_duplicates
 from tallyspark.operators.clustering import LABEL
 from tallyspark.operators.contracts import risk_level
 from tallyspark.operators.forecast import PREDICTION, ForecastModel, forecast
 from tallyspark.operators.monthly import latest_month_snapshot
 from tallyspark.operators.prep import join_same
 from tallyspark.operators.profiler import ProfilerModel, predict_profile
+from tallyspark.operators.recent import recent_rows
 from tallyspark.operators.weekly import weekly_category_long, weekly_features
+from tallyspark.session import durable
 
 DEFAULT_PROFILE = "genel_davranis_profili"
 DEFAULT_CLUSTER_RISK = 0.50
@@ -333,9 +335,13 @@ def risk_report(
 ) -> DataFrame:
     """Score raw ledgers: one row per entity with nested components.
 
-    ``budgets`` is one amount for all or a frame of the entity columns and ``budget``.
+    ``budgets`` is one amount for all or a frame of the entity columns and ``budget``. ``raw`` is read
+    twice. A report is about the last week and month, whose columns look three weeks and three months
+    back: older rows are left out before duplicates are removed, and the rest is written once.
     """
-    clean = raw if is_clean else clean_ledger(raw, entity_cols)
+    rows = raw if is_clean else normalise_ledger(raw, entity_cols)
+    rows = recent_rows(rows, entity_cols, months=4, weeks=4)
+    clean = durable(rows if is_clean else without_duplicates(rows))
     fused = fuse(risk_components(clean, models, entity_cols, budgets, config), config)
     weights = F.struct(
         F.lit(config.profile_weight).alias("profile_weight"),

@@ -29,7 +29,7 @@ from tallyspark.operators import weekly as W
 from tallyspark.operators.cleaning import clean_ledger, split_flows
 from tallyspark.operators.moments import Linear
 from tallyspark.operators.profiler import ProfilerModel, fit_profiler
-from tallyspark.plans.ledgers import dirty_ledger, event_ledger, order_ledger, table
+from tallyspark.plans.ledgers import dirty_ledger, event_ledger, order_ledger, order_ledgers, table
 from tallyspark.session import durable, fresh_path
 from tallyspark.sources.models import write_metrics
 from tallyspark.sources.registry import model_registry, registry_violations, write_metadata
@@ -487,13 +487,16 @@ def q_risk_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 def q_risk_report_fixed(spark: SparkSession, d: str) -> DataFrame:
     """The whole report for customers, by models whose parameters are given."""
-    summary = K.cluster_summary(durable(fixed_scores(spark, d).drop("features")), 0.05)
+    by_segment, by_customer = order_ledgers(spark, d, "c_mktsegment", "o_custkey")
+    segment_weeks = W.weekly_features(clean_ledger(by_segment, E), E)
+    scores = A.anomaly_score(P.apply_prep(segment_weeks, FIXED_PREP), FIXED_CENTROIDS)
+    summary = K.cluster_summary(durable(scores.drop("features")), 0.05)
     profiler = ProfilerModel(CUSTOMER_PREP, FIXED_CENTROIDS, durable(summary), None, None)
     detector = A.AnomalyModel(CUSTOMER_PREP, FIXED_CENTROIDS, FIXED_THRESHOLD, FIXED_SEVERE)
     budgets = table(spark, d, "customer").select(
         F.col("c_custkey").alias("entity"), (F.col("c_acctbal") * 10).alias("budget")
     )
-    report = R.risk_report(order_ledger(spark, d, "o_custkey"), R.RiskModels(profiler, detector, FIXED_FORECAST), E, budgets)
+    report = R.risk_report(by_customer, R.RiskModels(profiler, detector, FIXED_FORECAST), E, budgets)
     part = "components"
     return report.select(
         "entity", "risk_score", "risk_level", "dominant_driver", "status",

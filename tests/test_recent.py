@@ -80,6 +80,31 @@ def test_latest_month_folds_recent_months_only(raw, monkeypatch):
     assert got.count() == 3
 
 
+def test_report_reads_recent_rows_once_each(spark, raw, monkeypatch):
+    seen = []
+
+    class Enough(Exception):
+        pass
+
+    def take(clean, *args):
+        seen.append(clean)
+        raise Enough
+
+    monkeypatch.setattr(R, "risk_components", take)
+    whole = clean_ledger(raw, E)
+    for is_clean in (False, True):
+        with pytest.raises(Enough):
+            R.risk_report(whole if is_clean else raw, None, E, is_clean=is_clean)
+        clean = seen.pop()
+        assert clean.columns == whole.columns
+        assert clean.inputFiles(), "the recent ledger is written once for all branches"
+        rows = made(5)
+        recent = {r for r in rows if r[1].date() >= _start(rows, r[0], 4, 4)}
+        assert clean.count() == len(recent) < whole.count()
+        last = [R.latest(W.weekly_features(c, E), "YearWeek", E).orderBy("entity").collect() for c in (clean, whole)]
+        same_rows(*last)
+
+
 def test_many_order_lines_are_dealt_to_bounded_tasks(spark, monkeypatch):
     from tallyspark.plans import ledgers as L
 
