@@ -255,8 +255,9 @@ def risk_components(
     )
     categories = None
     if models.profiler.categories or models.anomaly.categories:
-        keys = [*entity_cols, "YearWeek"]
-        categories = join_same(weekly_category_long(clean, entity_cols), weeks.select(*keys), keys)
+        # several passes follow: one row per entity and its categories are written once
+        keys, weeks = [*entity_cols, "YearWeek"], durable(weeks)
+        categories = durable(join_same(weekly_category_long(clean, entity_cols), weeks.select(*keys), keys))
     risks = cluster_risk_map(models.profiler.summary)
     per_cluster = risks.agg(
         F.map_from_entries(

@@ -645,7 +645,8 @@ def q_forecast_small(spark: SparkSession, d: str) -> DataFrame:
 
 def q_risk_report(spark: SparkSession, d: str) -> DataFrame:
     """Models fitted on segments, customers scored against a budget of their own."""
-    clean = orders(spark, d)
+    by_segment, by_customer = order_ledgers(spark, d, "c_mktsegment", "o_custkey")
+    clean = durable(clean_ledger(by_segment, E))
     frame, long = durable(W.weekly_features(clean, E)), durable(W.weekly_category_long(clean, E))
     profiler, _, _ = fit_profiler(frame, E, FIT_PROFILER, categories=long)
     detector, _, _ = A.fit_anomaly(frame.select(*KEY, *W.weekly_columns("anomaly")), KEY, FIT_ANOMALY, long)
@@ -655,7 +656,7 @@ def q_risk_report(spark: SparkSession, d: str) -> DataFrame:
     budgets = table(spark, d, "customer").select(
         F.col("c_custkey").alias("entity"), (F.col("c_acctbal") * 10).alias("budget")
     )
-    report = R.risk_report(order_ledger(spark, d, "o_custkey"), models, E, budgets)
+    report = R.risk_report(by_customer, models, E, budgets)
     return report.select(
         "entity", "risk_score", "risk_level", "dominant_driver", "status",
         F.array_join("explanation", " ").alias("explanation"),

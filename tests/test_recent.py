@@ -119,3 +119,26 @@ def test_many_order_lines_are_dealt_to_bounded_tasks(spark, monkeypatch):
     assert by_segment.exceptAll(few).count() == few.exceptAll(by_segment).count() == 0
     other = L.order_ledger(spark, sf, "o_custkey")
     assert by_customer.exceptAll(other).count() == other.exceptAll(by_customer).count() == 0
+
+
+def test_report_joins_order_lines_once(monkeypatch, spark):
+    from tallyspark.plans import ledgers as L
+    from tallyspark.plans import queries as Q
+
+    class Enough(Exception):
+        pass
+
+    joins, raws, lines = [], [], L._order_lines
+
+    def take(raw, *args):
+        raws.append(raw)
+        raise Enough
+
+    monkeypatch.setattr(L, "_order_lines", lambda *args: joins.append(args) or lines(*args))
+    for module, name in ((Q, "fit_profiler"), (Q.A, "fit_anomaly"), (Q.FC, "fit_forecaster")):
+        monkeypatch.setattr(module, name, lambda frame, *args, **named: (None, None, None))
+    monkeypatch.setattr(Q.R, "risk_report", take)
+    with pytest.raises(Enough):
+        Q.all_queries()["risk_report"](spark, "/root/testdata/sf0.001")
+    assert len(joins) == 1
+    assert not any("lineitem" in f for f in raws[0].inputFiles())
