@@ -103,3 +103,57 @@ def test_store_starts_anew(vocab, monkeypatch):
     for i in range(50):
         got += [[s[3].tolist() for s in r] for r in pieces._slice_samples(store, [i], [texts[i]], 2)]
     assert got == want
+
+
+def samples_of(vocab, texts, k):
+    return [[s[3].tolist() for s in r] for r in pieces._slice_samples(pieces.Store(vocab), list(range(len(texts))), texts, k)]
+
+
+def test_rounds_do_not_grow_with_the_texts(vocab, monkeypatch):
+    """All texts of a slice are searched at once; a search text by text hashes several times for each."""
+    calls, hashed = [], pieces.uniform
+    monkeypatch.setattr(pieces, "uniform", lambda *a: calls.append(1) or hashed(*a))
+
+    def rounds(n):
+        calls.clear()
+        samples_of(vocab, ["the cat sat on the mat"] * n, 2)
+        return len(calls)
+
+    assert rounds(800) < 2 * rounds(40)
+
+
+MIXED = ["", "a", "the cat sat on the mat\n\nand the cat", "  ", "ñandú 漢字 漢 🙂🙂\n x", "\n", "aaaaaaaaaaaaaaaaaaaaaaaa " * 40, "the cat", "▁ word", "\u0000\u0001 x"]
+PINNED = [[0], [264, 86121], [240291, 207394, 211245], [57669, 2287, 29223], [2200981, 2241348, 3240083], [28731], [341556345, 343898528, 343202665], [76498, 2702, 1636], [91236, 3673, 64227], [122585, 375853]]
+
+
+def test_samples_stay_as_they_were(vocab):
+    """Pinned: the sums were taken from the search text by text that this one replaced."""
+    sums = [[sum((i + 1) * p for i, p in enumerate(s)) for s in r] for r in samples_of(vocab, MIXED, 3)]
+    assert sums == PINNED
+
+
+def test_chunks_of_one_hash_are_told_apart(vocab, monkeypatch):
+    want = samples_of(vocab, MIXED, 3)
+    hashes = pieces.Store.hashes
+    monkeypatch.setattr(pieces.Store, "hashes", lambda *a: hashes(*a) % 3 + 1)
+    assert samples_of(vocab, MIXED, 3) == want
+
+
+def test_table_of_chunks_grows(vocab, monkeypatch):
+    texts = [f"w{i} x{i * 7} w{i // 2}" for i in range(300)]
+    want = samples_of(vocab, texts, 2)
+    monkeypatch.setattr(pieces.Store, "SLOTS", 4)
+    assert samples_of(vocab, texts, 2) == want
+
+
+def test_scoring_goes_as_far_as_needed(vocab, monkeypatch):
+    """However few steps are scored first, the samples and the value after them stay the same."""
+    texts = ["the cat sat on the mat and the dog sat on the log " * 30, "a" * 300, "the cat"]
+
+    def all_values():
+        return [[s[:3] for s in r] for r in pieces._slice_samples(pieces.Store(vocab), [1, 2, 3], texts, 6)]
+
+    monkeypatch.setattr(pieces.Search, "STEPS", 100_000)
+    want = all_values()
+    monkeypatch.setattr(pieces.Search, "STEPS", 1)
+    assert all_values() == want
